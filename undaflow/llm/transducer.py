@@ -164,14 +164,16 @@ class Transducer:
         """The transition from a at byte i: the window grows until it decides, and what it decides is kept."""
         moves, w, n = self.moves, self.window, len(data)
         while True:
-            ahead = data[i : i + w]
-            made = moves.get((a, ahead))
+            ahead, ends = data[i : i + w], i + w > n
+            # in a first window the length tells whether the bytes end there; a longer one needs it in its key
+            key = (a, ahead) if w == self.window else (a, ahead, ends)
+            made = moves.get(key)
             if made is None:
-                got = self.determinise(a, ahead, i + w > n)
+                got = self.determinise(a, ahead, ends)
                 made = (got[0], got[1], len(got[0]), got[0][-1]) if got else ()
                 if len(moves) >= self.most:
                     moves.clear()
-                moves[a, ahead] = made
+                moves[key] = made
             if made:
                 return made
             w *= 2
