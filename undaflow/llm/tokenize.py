@@ -29,6 +29,16 @@ def transducer(path: str) -> Transducer:
     return _TRANSDUCERS[path]
 
 
+_MADE: dict = {}
+
+
+def _once(kind, *args):
+    """One codec or counter per Python worker, so that a worker's next task finds its tables filled."""
+    if (kind, args) not in _MADE:
+        _MADE[kind, args] = kind(*args)
+    return _MADE[kind, args]
+
+
 class Utf8Stream:
     """Incremental UTF-8 decoding: the state is the unfinished sequence at the end of what came so far.
 
@@ -90,7 +100,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", id
     (of the bytes that decoding the ids gives) and, where ``ids`` is set, ``ids`` and ``decoded``."""
 
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = _once(Codec, path, pattern)
         digits = codec.digits
         for b in batches:
             n, h, d, lists, texts = [], [], [], [], []
@@ -185,7 +195,7 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """Per row: ``key``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``; a special string in a text counts as one token."""
 
     def run(batches):
-        counter = Counter(path, special=special, chunk=chunk)
+        counter = _once(Counter, path, PATTERN, special, chunk)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [counter.count(t) for t in texts]

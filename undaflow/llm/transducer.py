@@ -87,7 +87,7 @@ class Transducer:
     the tokens that every live hypothesis agrees on; it is derived at first use and kept, up to
     ``most`` of them. ``window`` is the lookahead that nearly always decides; where it doesn't, it doubles."""
 
-    def __init__(self, merges: Merges, window: int = 8, most: int = 250_000):
+    def __init__(self, merges: Merges, window: int = 12, most: int = 250_000):
         self.merges, self.window, self.most = merges, window, most
         self._child: dict[int, int] = {}
         self._token: list[int] = [-1]
@@ -226,7 +226,7 @@ def split(pattern: str, text: str) -> list[str]:
 class WordTable(dict):
     """Pre-token -> what ``make`` gives for it, filled on demand and emptied at ``most`` entries."""
 
-    def __init__(self, make, most: int = 300_000, longest: int = 64):
+    def __init__(self, make, most: int = 600_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 
