@@ -29,3 +29,17 @@ def test_equals_sql(spark, name):
     assert cols == sorted(want.columns)
     order = lambda d: d[cols].sort_values(cols).reset_index(drop=True)
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False, rtol=0, atol=2e-6)
+
+
+def test_recurrence_over_many_blocks(spark):
+    """Blocks of 3 need four levels for 100 samples."""
+    from undaflow.operators.windows import recurrence
+
+    df = spark.range(100).selectExpr("'s' AS s", "id AS t", "cast(id % 7 AS double) AS b")
+    got = {r["t"]: r["y"] for r in recurrence(df, ["s"], "t", "b", 0.9, block=3).collect()}
+    y = 0.0
+    assert len(got) == 100
+    for t in range(100):
+        y = t % 7 + 0.9 * y
+        assert abs(got[t] - y) < 1e-9
+    assert recurrence(df.where("t < 0"), ["s"], "t", "b", 0.9).count() == 0

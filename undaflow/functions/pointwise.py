@@ -64,3 +64,38 @@ def p_norm(v: Column, p: float) -> Column:
     if p == math.inf:
         return F.array_max(F.transform(v, F.abs))
     return F.pow(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(F.abs(x), F.lit(p))), F.lit(1.0 / p))
+
+
+def a_law_compress(x: Column, a: float = 87.6, levels: int = 256) -> Column:
+    """Symbol 0 to levels - 1 of a sample in [-1, 1]: how many points of an even grid lie below its companded value."""
+    k, z = F.lit(1 + math.log(a)), F.abs(x)
+    y = F.signum(x) * F.when(z < 1 / a, a * z / k).otherwise((1 + F.log(a * z)) / k)
+    return F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.ceil((y + 1) / 2 * (levels - 1)))).cast("long")
+
+
+def a_law_expand(q: Column, a: float = 87.6, levels: int = 256, centered: bool = False) -> Column:
+    """Expand 2 q / levels; ``centered`` takes 1 off before, which makes it an inverse."""
+    y, k = 2 * q / F.lit(float(levels)) - (1 if centered else 0), 1 + math.log(a)
+    z = F.abs(y)
+    return F.signum(y) * F.when(z < 1 / k, z * k / a).otherwise(F.exp(z * k - 1) / a)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
+
+
+def soft_max(v: Column) -> Column:
+    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, z: s + z))
+
+
+def log_sum_exp(v: Column) -> Column:
+    return F.array_max(v) + F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(v))))
+
+
+def odd_reflect(v: Column, k: int) -> Column:
+    """The array with k // 2 samples more on each side, mirrored through its ends."""
+    h, first, last = k // 2, F.element_at(v, 1), F.element_at(v, -1)
+    left = F.transform(F.reverse(F.slice(v, 2, h)), lambda x: 2 * first - x)
+    right = F.transform(F.reverse(F.slice(v, F.size(v) - h, h)), lambda x: 2 * last - x)
+    return F.concat(left, v, right)
