@@ -53,6 +53,21 @@ def test_near_duplicates(docs):
         assert got == want
 
 
+def test_near_duplicates_in_large_nodes(spark):
+    """All texts share boilerplate, so the nodes stay large; every pair must still meet."""
+    r = random.Random(8)
+    word = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    core, rows = word(336), []
+    for _ in range(60):
+        own = core + word(16)
+        rows += [(len(rows) + k, " ".join(own + word(54))) for k in range(2)]
+    s = [sets(t) for _, t in rows]
+    pairs = {(a, a + 1) for a in range(0, 120, 2)}
+    assert {(a, b) for a in range(120) for b in range(a) if 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])} == {(b, a) for a, b in pairs}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=2, branches=2, levels=2).collect()
+    assert {(g.component_id, g.doc_id) for g in got if not g.kept} == pairs
+
+
 def test_base_counts(docs):
     for r in quality.base_counts(docs).join(docs, "doc_id").collect():
         t = r["text"] or ""

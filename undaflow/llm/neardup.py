@@ -2,12 +2,15 @@
 
 A document's set is its distinct word shingles, hashed to 48 bits. Documents of equal sets are one class
 before anything is compared. In each of ``trees`` independent trees a class goes to the node its first
-two chosen minwise tokens name; a node of many classes branches by further tokens into ``branches``
-children; small nodes are compared exhaustively. Comparing starts with the node's smallest member (a
+two chosen minwise tokens name; a node of many classes branches into ``branches`` children by tokens of
+its own, taken from the full sets with seeds that the tree and the path give, so that what one tree loses
+another may find; small nodes are compared exhaustively. Comparing starts with the node's smallest member (a
 star), and members known to be connected are not compared again, so a group of n near copies costs
 about n comparisons a tree, not n squared. What is still open in nodes at the last level is compared
 exhaustively too: no node is capped. A pair at the threshold shares a node of one tree with
-probability 0.75**2, so 12 trees find it with 0.99995. Links are confirmed on the full sets.
+probability 0.75**2, so 12 trees find it with 0.99995; where all its nodes are large it must also share
+a child at each of ``levels`` levels, each with 1 - 0.25**4, and 12 trees find it with 0.99994. Links are
+confirmed on the full sets.
 
 Sets and links stay in tables; components come from minimum labels with pointer jumping, each round
 written to the shared folder. Cases: null, empty and blank texts have an empty set and link with
@@ -88,6 +91,30 @@ def sketch(df: DataFrame, key: str, text: str, width: int, k: int) -> DataFrame:
     return df.select(df[key].cast("long"), df[text].cast("string")).mapInArrow(run, "id long, n long, fp string, sig array<int>, shingles binary")
 
 
+def branch(members: DataFrame, sets: DataFrame, branches: int) -> DataFrame:
+    """(node, id) of the children: every member of a node (node, id) goes to the ``branches`` children that
+    the minwise tokens of its set name. The seeds come from the node, so no two nodes share a token."""
+
+    def run(batches):
+        each = np.arange(1, branches + 1, dtype=np.uint64) * _M2
+        for b in batches:
+            ids, children = [], [np.empty(0, np.uint64)]
+            for x, nodes, packed in zip(*(b.column(c).to_pylist() for c in range(3))):
+                s = _unpack(packed)
+                seeds = _mix((_mix(np.array(nodes, np.int64).view(np.uint64) * _M1)[:, None] + each).ravel())
+                low = np.full(len(seeds), ~np.uint64(0))
+                step = max(1, (1 << 16) // len(seeds))
+                for at in range(0, len(s), step):
+                    low = np.minimum(low, _mix(s[at : at + step, None] ^ seeds).min(axis=0))
+                children.append(_mix(low + seeds))
+                ids += [x] * len(seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children).view(np.int64)), pa.array(ids, pa.int64())], ["node", "id"])
+
+    # one row a set: it is in at most ``trees * branches**level`` nodes
+    own = members.groupBy("id").agg(F.collect_set("node").alias("nodes")).join(sets.select("id", "shingles"), "id")
+    return own.select("id", "nodes", "shingles").mapInArrow(run, "node long, id long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar on their full sets."""
 
@@ -126,8 +153,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, trees: int = 12,
                     branches: int = 4, small: int = 32, levels: int = 4) -> DataFrame:
     """Per document ``key``, ``n_shingles``, ``component_id`` and ``kept``."""
-    first = 2 * trees
-    docs = materialize(sketch(df, key, text, width, first + branches * levels), "sketch")
+    docs = materialize(sketch(df, key, text, width, 2 * trees), "sketch")
     classes = docs.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = docs.select("id", "fp", "sig").join(classes, (docs["fp"] == classes["fp"]) & (docs["id"] == classes["rep"])).select("id", "sig").dropDuplicates(["id"])
@@ -136,7 +162,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     nodes = materialize(nodes.join(shared.select("node"), "node"), "nodes")
     ids = nodes.select("id").distinct()
-    sets = materialize(docs.select("id", "n", "sig", "shingles").join(ids, "id").dropDuplicates(["id"]), "sets")
+    sets = materialize(docs.select("id", "n", "shingles").join(ids, "id").dropDuplicates(["id"]), "sets")
     edges = None
     labels = None
     for level in range(levels + 1):
@@ -161,9 +187,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         big = member.where(F.col("n") > small).select("node", "id")
         if level == levels or not big.limit(1).count():
             break
-        at = first + branches * level
-        child = F.array(*[F.xxhash64("node", F.lit(j), F.get("sig", F.lit(at + j))) for j in range(branches)])
-        nodes = materialize(big.join(sets.select("id", "sig"), "id").select("id", F.explode(child).alias("node")), "nodes")
+        nodes = materialize(branch(big, sets, branches), "nodes")
     whole = classes.join(labels, classes["rep"] == labels["id"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     rows = docs.select("id", "n", "fp").dropDuplicates(["id"])
     one = rows.where("fp is null").select("id", "n", F.col("id").alias("component_id"))
