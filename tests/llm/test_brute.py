@@ -152,6 +152,22 @@ def test_ann(spark):
     assert ann.search(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_copies_tie_to_the_smaller_id(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(12, 64))
+    of = r.integers(0, 12, 1500)
+    rows = [(i, [float(v) * (3.0 if i % 7 == 0 else 1.0) for v in x[of[i]]]) for i in range(1500)]
+    rows += rows[:30]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for g in ann.search(d, F.col("vec_id") % 25 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(g.query_id, []).append((g.vec_id, g.score))
+    v = np.array([row[1] for row in rows[:1500]])
+    for q in range(0, 1500, 25):
+        s = [(-float(np.dot(v[j], v[q]) / (np.sqrt(np.dot(v[j], v[j])) * np.sqrt(np.dot(v[q], v[q])))), j) for j in np.flatnonzero(of == of[q]) if j != q]
+        assert got[q] == [(j, -score) for score, j in sorted(s)[:5]]
+
+
 def test_quotes(spark):
     rows = [(1, 0, "Hello  there\nsecond line"), (1, 1, "> hello there\n> second line\nSure"), (1, 2, ">> Hello there\n> sure\nok"), (1, 3, "> nothing known\nx"), (1, 4, None), (2, 0, "sure")]
     out = {(r.conv_id, r.turn): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}

@@ -4,9 +4,12 @@ Vectors are scaled to length 1 and projected on ``dims`` Gaussian directions. Ro
 blocks by a hash of their key; a block's projections form a kd-tree. A query meets the leaves of a
 tree in order of projected distance and verifies their vectors. For a point at distance d its squared
 projected distance over d squared is chi-square distributed, so it stops once the next leaf is so far
-that a point nearer than its k-th best would lie there with probability below ``1 - sure``. The best k
-of all blocks are merged. Queries go to every block in parts of ``per_part``, so a task holds one
-block and one part. Every row is indexed.
+that a point nearer than its k-th best would lie there with probability below ``1 - sure``. Scores of a
+matrix product differ by rounding even for equal vectors, so all rows within a rounding tolerance of
+the k-th are kept, scored one by one with the exact measure and only then cut to k by (score, key).
+The best k of all blocks are merged. Queries go to every block in parts of ``per_part``, so a task
+holds one block and one part. Every distinct vector of a block is indexed, with its k + 1 smallest
+keys: of equal vectors no others can be among the k nearest of any row.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors are
 compared within their dimension only; equal vectors tie to the smaller key; fewer candidates than
@@ -67,31 +70,49 @@ class Tree:
         return (gap * gap).sum(axis=1)
 
 
+def smallest(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """The rows of the ``k`` smallest distinct ids of every distinct vector."""
+    same = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    c, i = same[order], ids[order]
+    first = np.r_[True, c[1:] != c[:-1]]
+    new = first | np.r_[True, i[1:] != i[:-1]]
+    rank = np.cumsum(new)
+    start = np.maximum.accumulate(np.where(first, rank, 0))
+    return np.sort(order[new & (rank - start < k)])
+
+
 def search_block(ids, vectors, q_ids, q_vectors, k: int, dims: int, sure: float, seed: int, leaf: int):
-    """(query, id, score) of the best ``k`` of a block for every query."""
+    """For every query the rows of a block that may be among its best ``k``: those within rounding of the k-th score."""
+    rows_of = smallest(ids, vectors, k + 1)
+    ids, vectors = ids[rows_of], vectors[rows_of]
     norm = np.linalg.norm(vectors, axis=1)
     unit = vectors / norm[:, None]
     plane = np.random.default_rng(seed).standard_normal((vectors.shape[1], dims))
     tree = Tree(unit @ plane, leaf)
-    unit, ids = unit[tree.order], ids[tree.order]
+    unit, ids, rows_of = unit[tree.order], ids[tree.order], rows_of[tree.order]
     q_unit = q_vectors / np.linalg.norm(q_vectors, axis=1)[:, None]
     q_plane, need = q_unit @ plane, chi2_quantile(sure, dims)
+    # above the difference that rounding can make between two scores of one pair
+    close = 4 * (vectors.shape[1] + 8) * np.finfo(float).eps
     out = []
     for i in range(len(q_ids)):
         far = tree.far(q_plane[i])
         nearest, score, found = np.argsort(far, kind="stable"), np.empty(0), np.empty(0, np.int64)
         at, step = 0, 2
         while at < len(nearest):
-            if len(score) >= k and far[nearest[at]] > need * max(0.0, 2 - 2 * score[-1]):
+            if len(score) >= k and far[nearest[at]] > need * (max(0.0, 2 - 2 * score[k - 1]) + 2 * close):
                 break
             rows = np.concatenate([np.arange(*tree.runs[j]) for j in nearest[at : at + step]])
             rows = rows[ids[rows] != q_ids[i]]
             s, c = np.concatenate([score, unit[rows] @ q_unit[i]]), np.concatenate([found, rows])
-            best = np.lexsort((ids[c], -s))[:k]
+            best = np.lexsort((ids[c], -s))
+            if len(best) > k:
+                best = best[s[best] >= s[best[k - 1]] - close]
             score, found = s[best], c[best]
             at, step = at + step, min(2 * step, 64)
-        out.append((found, i))
-    return tree, out
+        out.append(rows_of[found])
+    return out
 
 
 def search(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", dims: int = 8, sure: float = 0.97,
@@ -120,12 +141,12 @@ def search(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
             left, right = left.sort_by("id"), right.sort_by("id")
             x, y = matrix(left), matrix(right)
             ids, q_ids = np.asarray(left.column("id")), np.asarray(right.column("id"))
-            tree, found = search_block(ids, x, q_ids, y, k, dims, sure, seed, leaf)
-            for rows_, i in found:
-                for r in tree.order[rows_]:
+            for i, rows_ in enumerate(search_block(ids, x, q_ids, y, k, dims, sure, seed, leaf)):
+                exact = [(-float(np.dot(x[r], y[i]) / (math.sqrt(np.dot(x[r], x[r])) * math.sqrt(np.dot(y[i], y[i])))), int(ids[r])) for r in rows_]
+                for score, r in sorted(exact)[:k]:
                     q.append(int(q_ids[i]))
-                    c.append(int(ids[r]))
-                    s.append(float(np.dot(x[r], y[i]) / (math.sqrt(np.dot(x[r], x[r])) * math.sqrt(np.dot(y[i], y[i])))))
+                    c.append(r)
+                    s.append(-score)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
 
     on = ["dim", "block", "part"]
