@@ -177,6 +177,15 @@ def test_quotes(spark):
     assert out[1, 2].quote_depth == 2 and out[1, 2].body == "ok" and out[1, 4].body == ""
 
 
+def test_quotes_of_a_paragraph_wrapped_anew(spark):
+    long = "Dear all,\n\nthe first part runs\nover two lines\n \t\nand the second part\nover two more\n\nBye"
+    rows = [(1, 0, long), (1, 1, "> the first\n> part runs over two\n> lines\nyes"), (1, 2, "> and the second\n> part over\n> two more\n>\n> no such\n> paragraph\nno"), (1, 3, "> and the second part runs\n> on\nx")]
+    out = {r.turn: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert [out[t].parent_turn for t in range(4)] == [None, 0, 0, None]
+    assert [out[t].n_linked for t in range(4)] == [0, 1, 1, 0]
+    assert [out[t].root_turn for t in range(4)] == [0, 0, 0, 3]
+
+
 def test_urls(spark):
     c = spark.createDataFrame([(1, "http://a.b.com/x", 5), (2, "https://u@A.B.com:80", 15), (3, None, 5), (4, "nope", 5), (5, "http://b.com", 25), (6, "http://b.com", None)], "id long, url string, fetch_day int")
     e = spark.createDataFrame([("b.com", 1, "block"), ("a.b.com", 10, "allow"), ("b.com", 20, "allow")], "domain string, day int, action string")

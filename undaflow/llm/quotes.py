@@ -2,7 +2,9 @@
 
 Lines that begin with ``>`` signs are quotes of that level. Neighbouring lines of one level are a
 passage; passages and lines are normalised (case, white space, marks) and hashed, and joined to the
-own passages and lines of the conversation's messages, of which there is one row a hash. A message
+own passages, lines and paragraphs (between blank lines, with white space made equal, so wrapping does
+not matter) of the conversation's messages, of which there is one row a hash. A quoted passage is split
+at its blank lines as well. A message
 answers the latest original among its first-level quotes, else its latest at any level. The order of
 a conversation is by root message, then turn. Only messages with quotes are exploded.
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 MARK = r"^[ \t]*(?:>[ \t]*)+"
+BLANK = r"\n\s*\n"
 
 
 def norm(text: Column) -> Column:
@@ -25,7 +28,7 @@ def norm(text: Column) -> Column:
 
 
 def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Per message: ``n_quoted`` lines, ``quote_depth``, ``n_linked`` passages or lines, ``parent_turn``, ``root_turn`` and ``body``
+    """Per message: ``n_quoted`` lines, ``quote_depth``, ``n_linked`` passages, paragraphs or lines, ``parent_turn``, ``root_turn`` and ``body``
     (the text without quoted lines). Order a conversation by ``root_turn`` and ``turn``."""
     m = df.select(df[conv].alias("conv_id"), df[turn].alias("turn"), df[text].cast("string").alias("text"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -39,11 +42,14 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "
     w = Window.partitionBy("conv_id", "turn").orderBy("p")
     step = F.coalesce((F.col("level") != F.lag("level").over(w)).cast("int"), F.lit(1))
     quoting = materialize(quoting.withColumn("step", step).withColumn("passage", F.sum("step").over(w)), "quotes")
-    whole = quoting.groupBy("conv_id", "turn", "passage", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), " ").alias("t"))
-    pieces = whole.select("conv_id", "turn", "level", "t").union(quoting.select("conv_id", "turn", "level", F.col("line").alias("t")))
+    whole = quoting.groupBy("conv_id", "turn", "passage", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    paragraphs = lambda d: d.withColumn("t", F.explode(F.split("t", BLANK)))
+    whole = whole.select("conv_id", "turn", "level", "t")
+    pieces = whole.union(paragraphs(whole)).union(quoting.select("conv_id", "turn", "level", F.col("line").alias("t")))
     hashed = lambda d: d.withColumn("h", F.sha2(norm(F.col("t")), 256)).where(norm(F.col("t")) != "")
     quotes = hashed(pieces.where("level > 0")).select("conv_id", "turn", "level", "h").distinct()
-    own = m.select("conv_id", "turn", F.col("body").alias("t")).union(m.select("conv_id", "turn", F.explode(F.split("body", "\n")).alias("t"))).union(pieces.where("level = 0").select("conv_id", "turn", "t"))
+    body = m.select("conv_id", "turn", F.col("body").alias("t"))
+    own = body.union(paragraphs(body)).union(m.select("conv_id", "turn", F.explode(F.split("body", "\n")).alias("t"))).union(pieces.where("level = 0").select("conv_id", "turn", "t"))
     asked = quotes.select("conv_id").distinct()
     own = hashed(own.join(asked, "conv_id", "left_semi")).groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
     hits = quotes.join(own, ["conv_id", "h"]).where("origin < turn")
