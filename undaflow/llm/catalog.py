@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import ann, langid, mixing, neardup, quality, quotes, sharding, tokenize, urls
+from .settings import OTHER, TARGETS
 
-#: Target weights of the sources that are named; all others share ``other``.
-TARGETS = {"src0": 2.0, "src1": 1.0, "src2": 1.0, "src3": 0.5}
-OTHER = 6.0
 #: A fixed list of dated entries: domain, day, action.
 ENTRIES = (
     ("example.net", "2024-03-01", "block"), ("example.net", "2024-07-01", "allow"), ("example.net", "2024-10-01", "block"),
@@ -67,7 +65,7 @@ def op9_language(spark, sf_dir):
     out = langid.held_out(docs["doc_id"])
     model = langid.learn(docs, ~out)
     got = langid.label(docs, model)
-    return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "fit", "fits", "spans")
 
 
 def op10_projections(spark, sf_dir):
