@@ -39,3 +39,107 @@ def angular_distance(a: Column, b: Column, signed: Column | bool, eps: float = 1
     cos = dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(eps))
     lim = 1 - eps / 2
     return F.when(F.lit(signed) if isinstance(signed, bool) else signed, 1.0).otherwise(2.0) * F.acos(F.greatest(F.lit(-lim), F.least(F.lit(lim), cos))) / F.lit(math.pi)
+
+
+def weighted_l1(df: DataFrame, batch: list[str], dim: str, o: str, y: str, eps: float = 1e-18) -> DataFrame:
+    """Errors weighted by their dimension's share of all errors of the batch element, summed."""
+    by = df.groupBy(*batch, dim).agg(F.sum(F.abs(F.col(o) - F.col(y))).alias("l"))
+    # a dimension's errors share one weight, so the dimension's sum is enough
+    e = by.groupBy(*batch).agg(F.sum(F.col("l") * F.col("l")).alias("q"), F.greatest(F.sum("l"), F.lit(eps)).alias("s"))
+    return e.agg(F.sum(F.col("q") / F.col("s")).alias("loss"))
+
+
+def vector_distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, z: s + z))
+
+
+def distance_over_time(df: DataFrame, batch: list[str], t: str, o: str, y: str) -> DataFrame:
+    """Mean absolute difference between the distances of outputs and those of targets, over all pairs of steps of a
+    batch element; pairs are made once and count twice, those of a step with itself add nothing."""
+    a = df.select(*batch, F.col(t).alias("_i"), F.col(o).alias("_oi"), F.col(y).alias("_yi"))
+    b = df.select(*[F.col(c).alias(f"_b_{c}") for c in batch], F.col(t).alias("_j"), F.col(o).alias("_oj"), F.col(y).alias("_yj"))
+    on = F.col("_i") < F.col("_j")
+    for c in batch:
+        on = on & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    total = a.join(b, on).agg(F.sum(2 * F.abs(vector_distance(F.col("_oi"), F.col("_oj")) - vector_distance(F.col("_yi"), F.col("_yj")))).alias("s"))
+    n = df.groupBy(*batch).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("n"))
+    return total.crossJoin(n).select((F.col("s") / F.col("n")).alias("loss"))
+
+
+def scaled_l1(df: DataFrame, t: str, key: Column, o: str, y: str, low: float = 0.95, high: float = 1.05, seed: int = 0) -> DataFrame:
+    """``mean_l1_prop`` against targets scaled by numbers between ``low`` and ``high`` that a hash of ``key`` draws."""
+    u = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return mean_l1_prop(df.withColumn("_y", F.col(y) * (F.lit(low) + u * (high - low))), t, o, "_y")
+
+
+def mean_2d_diff(df: DataFrame, batch: list[str], t: str, dim: str, o: str, y: str) -> DataFrame:
+    """``mean_l1_prop`` of the differences along dimensions plus that of the differences along time."""
+    cols = [*batch, t, dim, o, y]
+    d = df.select(*cols)
+
+    def stepped(axis: str) -> DataFrame:
+        on = [c for c in (*batch, t, dim) if c != axis]
+        after = d.select(*on, (F.col(axis) - 1).alias(axis), F.col(o).alias("_o"), F.col(y).alias("_y"))
+        both = d.join(after, [*on, axis])
+        return both.select(t, (F.col("_o") - F.col(o)).alias("o"), (F.col("_y") - F.col(y)).alias("y"))
+
+    wide, long = (mean_l1_prop(stepped(axis), t, "o", "y") for axis in (dim, t))
+    return wide.union(long).agg(F.sum("loss").alias("loss"))
+
+
+def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
+    return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(eps))
+
+
+def any_negative(df: DataFrame, *vectors: str) -> bool:
+    """Whether any component of the columns is below zero: one partial aggregate."""
+    found = [F.exists(v, lambda x: x < 0) for v in vectors]
+    return bool(df.agg(F.max(F.greatest(*found) if len(found) > 1 else found[0])).first()[0])
+
+
+def angular_loss(df: DataFrame, a: str, b: str, eps: float = 1e-8) -> DataFrame:
+    """Mean angular distance of paired vectors; the range is halved only where a component of either side is negative."""
+    return df.agg(F.avg(angular_distance(F.col(a), F.col(b), any_negative(df, a, b), eps)).alias("loss"))
+
+
+def phase_loss(df: DataFrame, t: str, mag_o: str, mag_y: str, ang_o: str, ang_y: str) -> DataFrame:
+    """100 times the proportional error of magnitudes plus 100 times the phase error, weighted by the target's magnitudes."""
+    turn = lambda x: x - F.lit(2 * math.pi) * F.rint(x / F.lit(2 * math.pi))
+    mags = mean_l1_prop(df, t, mag_o, mag_y).withColumnRenamed("loss", "a")
+    e = F.abs(turn(F.col(ang_o) - F.col(ang_y)))
+    angles = df.agg((F.sum(e * F.abs(mag_y)) / F.greatest(F.sum(F.abs(mag_y)), F.lit(1e-8))).alias("b"))
+    return mags.crossJoin(angles).select((100 * F.col("a") + 100 * F.col("b")).alias("loss"))
+
+
+def independence(weights: list[list[float]]) -> float:
+    """Mean absolute difference between the Gram matrix of a layer's columns and the identity."""
+    cols = list(zip(*weights))
+    gram = [[sum(a * b for a, b in zip(p, q)) for q in cols] for p in cols]
+    return sum(abs(g - (i == j)) for i, row in enumerate(gram) for j, g in enumerate(row)) / len(cols) ** 2
+
+
+#: Objectives by name: what they compare and the aggregate that does it.
+OBJECTIVES = {
+    "reconstruction": ("continuous", mean_l1_prop), "mean_l1_prop": ("continuous", mean_l1_prop), "weighted_l1": ("continuous", weighted_l1), "diff_over_time": ("continuous", diff_over_time),
+    "distance_over_time": ("continuous", distance_over_time), "scaled_l1": ("continuous", scaled_l1), "mean_2d_diff": ("continuous", mean_2d_diff), "maximize": ("continuous", maximize),
+    "angular": ("continuous", angular_loss), "categorical_dist": ("discrete", cross_entropy),
+}
+
+
+def objective(name: str, kind: str):
+    """The aggregate of an objective, refused where it does not fit what the target holds."""
+    if name not in OBJECTIVES:
+        raise KeyError(f"no objective {name!r}; there are {sorted(OBJECTIVES)}")
+    wanted, fn = OBJECTIVES[name]
+    if wanted != kind:
+        raise TypeError(f"{name} needs a {wanted} target, not a {kind} one")
+    return fn
+
+
+def total_loss(terms: list[tuple[str, float, DataFrame]]) -> DataFrame:
+    """name and loss of every (target, weight, one-row loss), and their weighted sum as ``loss``."""
+    out = None
+    for name, weight, d in terms:
+        one = d.select(F.lit(name).alias("name"), (F.col("loss") * F.lit(float(weight))).alias("loss"))
+        out = one if out is None else out.union(one)
+    return out.union(out.agg(F.lit("loss").alias("name"), F.sum("loss").alias("loss")))

@@ -1,69 +1,80 @@
-"""Operators on ordered sequences: ``source`` columns name a sequence, ``order`` columns its order."""
+"""Operators on ordered sequences: ``source`` columns name a sequence, ``t`` numbers its samples 0, 1, ... (see ``blocks.indexed``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Names = list[str]
-
-
-def along(source: Names, order: Names) -> WindowSpec:
-    return Window.partitionBy(*source).orderBy(*order)
+from .blocks import Names, indexed, join_by, lengths, near, running
 
 
 def normalize(df: DataFrame, source: Names, x: str, out: str = "y", p: float = float("inf")) -> DataFrame:
     """Divide by the sequence's p-norm; a zero sequence stays. The norms come from one partial aggregate."""
     norm = F.max(F.abs(x)) if p == float("inf") else F.pow(F.sum(F.pow(F.abs(F.col(x)), F.lit(p))), F.lit(1 / p))
     norms = df.groupBy(*source).agg(norm.alias("_norm"))
-    return df.join(norms, source).withColumn(out, F.col(x) / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0)).drop("_norm")
+    return join_by(df, norms, source).withColumn(out, F.col(x) / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0)).drop("_norm")
 
 
-def emphasis(df: DataFrame, source: Names, order: Names, x: str, e: float, out: str = "y") -> DataFrame:
-    return df.withColumn(out, F.col(x) - e * F.lag(x, 1, 0.0).over(along(source, order)))
+def emphasis(df: DataFrame, source: Names, t: str, x: str, e: float, out: str = "y") -> DataFrame:
+    return near(df, source, t, 1, 0, {out: lambda w: F.col(x) - e * F.lag(x, 1, 0.0).over(w)})
 
 
-def difference(df: DataFrame, source: Names, order: Names, x: str, out: str = "y") -> DataFrame:
+def difference(df: DataFrame, source: Names, t: str, x: str, out: str = "y") -> DataFrame:
     """Difference to the sample before; null at the first."""
-    return df.withColumn(out, F.col(x) - F.lag(x).over(along(source, order)))
+    return near(df, source, t, 1, 0, {out: lambda w: F.col(x) - F.lag(x).over(w)})
 
 
-def local_max(df: DataFrame, source: Names, order: Names, x: str, out: str = "peak") -> DataFrame:
-    """Larger than the sample before and at least the one after; ends have no peak."""
-    w = along(source, order)
-    return df.withColumn(out, F.coalesce((F.col(x) > F.lag(x).over(w)) & (F.col(x) >= F.lead(x).over(w)), F.lit(False)))
+def local_max(df: DataFrame, source: Names, t: str, x: str, out: str = "peak") -> DataFrame:
+    """Larger than the sample before and at least the one after; an end sample is compared with itself outside."""
+    peak = lambda w: F.coalesce((F.col(x) > F.coalesce(F.lag(x).over(w), F.col(x))) & (F.col(x) >= F.coalesce(F.lead(x).over(w), F.col(x))), F.lit(False))
+    return near(df, source, t, 1, 1, {out: peak})
 
 
-def zero_crossings(df: DataFrame, source: Names, order: Names, x: str) -> DataFrame:
+def zero_crossings(df: DataFrame, source: Names, t: str, x: str) -> DataFrame:
     """``up``: the sample before was negative and this one is positive; ``down``: the reverse."""
-    before = F.lag(x).over(along(source, order))
-    return df.withColumns({"up": F.coalesce((before < 0) & (F.col(x) > 0), F.lit(False)), "down": F.coalesce((before > 0) & (F.col(x) < 0), F.lit(False))})
+    up = lambda w: F.coalesce((F.lag(x).over(w) < 0) & (F.col(x) > 0), F.lit(False))
+    down = lambda w: F.coalesce((F.lag(x).over(w) > 0) & (F.col(x) < 0), F.lit(False))
+    return near(df, source, t, 1, 0, {"up": up, "down": down})
+
+
+def sign_changes(df: DataFrame, source: Names, t: str, x: str, out: str = "change") -> DataFrame:
+    """Where the sign bit differs from the sample before, and at the first sample."""
+    return near(df, source, t, 1, 0, {out: lambda w: F.coalesce((F.lag(x).over(w) < 0) != (F.col(x) < 0), F.lit(True))})
+
+
+def periods(df: DataFrame, source: Names, t: str, x: str) -> DataFrame:
+    """source, period, attack, peak: a period starts where the signal turns positive from below zero; its peak is the
+    last positive sample before the first turn to below zero inside it, or else the source's last sample. The
+    very last step of a source is no turn."""
+    turn = lambda w: (F.col(x) > 0) & (F.lead(x).over(w) < 0)
+    d = near(df, source, t, 1, 1, {"_up": lambda w: (F.lag(x).over(w) < 0) & (F.col(x) > 0), "_turn": turn})
+    d = join_by(d, lengths(df, source, "_n"), source)
+    d = running(d, source, t, F.coalesce(F.col("_up"), F.lit(False)).cast("long"), "period").where("period > 0")
+    first = F.min(F.when(F.col("_turn") & (F.col(t) < F.col("_n") - 2), F.col(t)))
+    return d.groupBy(*source, "period").agg(F.min(t).alias("attack"), F.coalesce(first, F.max("_n") - 1).alias("peak"))
 
 
-def runs(df: DataFrame, source: Names, order: Names, label: str) -> DataFrame:
-    """Maximal runs of one label: source, seg_id, label, start, stop (exclusive), in sample indices."""
-    w = along(source, order)
-    d = df.withColumns({"_t": F.row_number().over(w) - 1, "_new": (~F.col(label).eqNullSafe(F.lag(label).over(w)) | (F.row_number().over(w) == 1)).cast("long")})
-    d = d.withColumn("seg_id", F.sum("_new").over(w) - 1)
-    return d.groupBy(*source, "seg_id").agg(F.first(label).alias("label"), F.min("_t").cast("long").alias("start"), (F.max("_t") + 1).cast("long").alias("stop"))
+def runs(df: DataFrame, source: Names, t: str, label: str) -> DataFrame:
+    """Maximal runs of one label: source, seg_id, label, start, stop (exclusive)."""
+    new = lambda w: ((F.col(t) == 0) | ~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("long")
+    d = running(near(df, source, t, 1, 0, {"_new": new}), source, t, F.col("_new"), "_seg").withColumn("seg_id", F.col("_seg") - 1)
+    return d.groupBy(*source, "seg_id").agg(F.first(label).alias("label"), F.min(t).alias("start"), (F.max(t) + 1).alias("stop"))
 
 
-def cut_labels(df: DataFrame, source: Names, order: Names, cut: Column, out: str = "label") -> DataFrame:
+def cut_labels(df: DataFrame, source: Names, t: str, cut: Column, out: str = "label") -> DataFrame:
     """Number of cuts up to and including each sample."""
-    return df.withColumn(out, F.sum(cut.cast("long")).over(along(source, order)))
+    return running(df, source, t, F.coalesce(cut, F.lit(False)).cast("long"), out)
 
 
-def tumbling(df: DataFrame, source: Names, order: Names, x: str, size: int) -> DataFrame:
-    """Frames of ``size`` samples, the incomplete last one left out: source, frame, v."""
-    d = df.withColumn("_t", F.row_number().over(along(source, order)) - 1).withColumn("frame", F.floor(F.col("_t") / size).cast("long"))
-    v = F.transform(F.array_sort(F.collect_list(F.struct("_t", x))), lambda s: s[x])
-    return d.groupBy(*source, "frame").agg(v.alias("v")).where(F.size("v") == size)
+def tumbling(df: DataFrame, source: Names, t: str, x: str, size: int) -> DataFrame:
+    """Frames of ``size`` samples, the incomplete last one left out: source, frame, v. Null samples keep their place."""
+    v = F.transform(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(x).alias("x")))), lambda s: s["x"])
+    return df.groupBy(*source, F.floor(F.col(t) / size).alias("frame")).agg(v.alias("v")).where(F.size("v") == size)
 
 
 def dense_codes(df: DataFrame, label: str, out: str = "code") -> DataFrame:
-    """Labels recoded 0, 1, ... in their order; only the distinct labels are ranked."""
-    codes = df.select(label).distinct().withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
-    return df.join(codes, label)
+    """Labels recoded 0, 1, ... in their order; a null label has a code of its own, the first."""
+    return join_by(df, indexed(df.select(label).distinct(), [], [label], out), [label])
 
 
 def histogram(df: DataFrame, source: Names, x: str, bins: int, low: float, high: float) -> DataFrame:

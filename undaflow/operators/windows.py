@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import Names, along
+from .blocks import Names, indexed, join_by, lengths, near, running
 
 
 def recurrence(df: DataFrame, source: Names, t: str, b: str, c: float, out: str = "y", block: int = 256) -> DataFrame:
@@ -26,15 +26,10 @@ def recurrence(df: DataFrame, source: Names, t: str, b: str, c: float, out: str
     else:
         ends = local.select(*source, at, F.element_at("_v", -1)["x"].alias("_end"))
         carry = recurrence(ends, source, at, "_end", c**block, "_in", block).select(*source, (F.col(at) + 1).alias(at), "_in")
-        entered = local.join(carry, [*source, at], "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
+        entered = join_by(local, carry, [*source, at], "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
     rows = entered.select(*source, "_in", F.explode("_v").alias("_e"))
     rows = rows.select(*source, F.col("_e.t").alias(t), (F.col("_e.x") + F.col("_in") * F.pow(F.lit(c), F.col("_e.t") % block + 1)).alias(out))
-    return df.join(rows, [*source, t])
-
-
-def indexed(df: DataFrame, source: Names, order: Names, out: str = "t") -> DataFrame:
-    """The place 0, 1, ... of each row in its source."""
-    return df.withColumn(out, (F.row_number().over(along(source, order)) - 1).cast("long"))
+    return join_by(df, rows, [*source, t])
 
 
 def deemphasis(df: DataFrame, source: Names, t: str, x: str, e: float, out: str = "y") -> DataFrame:
@@ -44,52 +39,101 @@ def deemphasis(df: DataFrame, source: Names, t: str, x: str, e: float, out: str
 
 def remove_dc(df: DataFrame, source: Names, t: str, x: str, pole: float = 0.99, out: str = "y") -> DataFrame:
     """y[t] = x[t] - x[t - 1] + pole * y[t - 1]."""
-    step = F.col(x) - F.lag(x, 1, 0.0).over(along(source, [t]))
-    return recurrence(df.withColumn("_b", step), source, t, "_b", pole, out).drop("_b")
+    d = near(df, source, t, 1, 0, {"_b": lambda w: F.col(x) - F.lag(x, 1, 0.0).over(w)})
+    return recurrence(d, source, t, "_b", pole, out).drop("_b")
 
 
 def slices(df: DataFrame, source: Names, t: str, x: str, length: int, hop: int = 1, shift: int = 0, stride: int = 1) -> DataFrame:
-    """source, start, v: the whole windows x[start + shift : start + shift + length : stride] at every ``hop``."""
-    w = along(source, [t]).rowsBetween(shift, shift + length - 1)
-    d = df.withColumn("_v", F.collect_list(x).over(w)).where((F.col(t) % hop == 0) & (F.size("_v") == length))
-    return d.select(*source, F.col(t).alias("start"), F.filter("_v", lambda _, i: i % stride == 0).alias("v"))
+    """source, start, v: the whole windows x[start + shift : start + shift + length : stride] at every ``hop``.
+
+    Each sample goes to the windows it is in, so no row holds a window that is not kept; nulls keep their place."""
+    t_, last = F.col(t), shift + length - 1
+    low = F.greatest(F.ceil((t_ - last) / F.lit(float(hop))).cast("long"), F.lit(0).cast("long"))
+    high = F.floor((t_ - shift) / F.lit(float(hop))).cast("long")
+    d = df.select(*source, t_.alias("_t"), F.col(x).alias("_x"), F.explode(F.when(high >= low, F.sequence(low, high, F.lit(1).cast("long")))).alias("_k"))
+    d = d.withColumn("start", F.col("_k") * hop).withColumn("_i", F.col("_t") - F.col("start") - shift)
+    # whether the window is whole shows in its last place, also where the stride leaves that out
+    n = join_by(d.where(F.col("_i") % stride == 0), lengths(df, source, "_n"), source).where(F.col("start") + last < F.col("_n"))
+    return n.groupBy(*source, "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("v"))
 
 
 def moving_min(df: DataFrame, source: Names, t: str, x: str, before: int, after: int, out: str = "y") -> DataFrame:
-    return df.withColumn(out, F.min(x).over(along(source, [t]).rowsBetween(-before, after)))
+    """Least value from ``before`` rows back to ``after`` ahead; beyond the ends stands the source's own least value."""
+    low = join_by(df.groupBy(*source).agg(F.min(x).alias("_least")), lengths(df, source, "_n"), source)
+    d = near(df, source, t, before, after, {"_y": lambda w: F.min(x).over(w.rowsBetween(-before, after))})
+    beyond = (F.col(t) < before) | (F.col(t) + after >= F.col("_n"))
+    return join_by(d, low, source).withColumn(out, F.when(beyond, F.col("_least")).otherwise(F.col("_y"))).drop("_least", "_n", "_y")
 
 
 def snap(df: DataFrame, source: Names, t: str, mark: str, out: str = "snapped") -> DataFrame:
     """The place of the nearest row with ``mark``, the earlier one at equal distance; null without any."""
     at = F.when(F.col(mark), F.col(t))
-    w = along(source, [t])
-    back = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = df.withColumns({"_b": back, "_a": ahead})
+    d = running(running(df, source, t, at, "_b", "max"), source, t, at, "_a", "min", back=True)
     return d.withColumn(out, F.when(F.col("_a").isNull() | (F.col(t) - F.col("_b") <= F.col("_a") - F.col(t)), F.col("_b")).otherwise(F.col("_a"))).drop("_a", "_b")
 
 
 def ranks(df: DataFrame, source: Names, x: str, key: str, out: str = "rank") -> DataFrame:
     """Place of each value in the order of values, ties by ``key``."""
-    return df.withColumn(out, (F.row_number().over(along(source, [x, key])) - 1).cast("long"))
+    return indexed(df, source, [x, key], out)
+
+
+def quantile(df: DataFrame, source: Names, x: str, shares: dict[str, float]) -> DataFrame:
+    """source and one column a share: the interpolated quantile, read off the ranks; nulls take no part."""
+    d = indexed(df.where(F.col(x).isNotNull()).select(*source, F.col(x).cast("double").alias("_x")), source, ["_x"], "_r")
+    d = join_by(d, lengths(d, source, "_n"), source)
+    out = []
+    for name, q in shares.items():
+        at = (F.col("_n") - 1) * F.lit(q)
+        part = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_r") - at))
+        out.append(F.sum(F.when(part > 0, F.col("_x") * part)).alias(name))
+    keep = None
+    for q in shares.values():
+        one = F.abs(F.col("_r") - (F.col("_n") - 1) * F.lit(q)) < 1
+        keep = one if keep is None else keep | one
+    return d.where(keep).groupBy(*source).agg(*out)
 
 
 def running_entropy(df: DataFrame, source: Names, t: str, symbol: str, out: str = "entropy") -> DataFrame:
     """Entropy (nats) of the symbols up to each row: ln n - sum(c ln c) / n, where a row changes one count only."""
-    c = F.row_number().over(along([*source, symbol], [t])).cast("double")
     xlnx = lambda v: F.when(v > 0, v * F.log(v)).otherwise(0.0)
-    d = df.withColumn("_c", c).withColumn("_d", xlnx(F.col("_c")) - xlnx(F.col("_c") - 1))
+    d = running(df, [*source, symbol], t, F.lit(1.0), "_c")
+    d = running(d, source, t, xlnx(F.col("_c")) - xlnx(F.col("_c") - 1), "_d")
     n = F.col(t) + 1
-    return d.withColumn(out, F.log(n) - F.sum("_d").over(along(source, [t])) / n).drop("_c", "_d")
+    return d.withColumn(out, F.log(n) - F.col("_d") / n).drop("_c", "_d")
+
+
+def signed_entropy(df: DataFrame, source: Names, t: str, entropy: str, out: str = "signed") -> DataFrame:
+    """The entropy with the sign of its next change; the change after the last row is to zero."""
+    return near(df, source, t, 0, 1, {out: lambda w: F.signum(F.lead(entropy, 1, 0.0).over(w) - F.col(entropy)) * F.col(entropy)})
 
 
 def label_offsets(df: DataFrame, source: str, label: str, out: str = "label_all") -> DataFrame:
     """Labels made distinct between sources: each source starts after the largest label of those before it."""
-    top = df.groupBy(source).agg((F.max(label) + 1).alias("_n"))
-    start = top.select(source, F.coalesce(F.sum("_n").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    return df.join(start, source).withColumn(out, F.col(label) + F.col("_s")).drop("_s")
+    top = indexed(df.groupBy(source).agg((F.max(label) + 1).alias("_n")), [], [source], "_k")
+    top = running(top, [], "_k", F.coalesce("_n", F.lit(0)), "_to").select(source, (F.col("_to") - F.coalesce("_n", F.lit(0))).alias("_s"))
+    return join_by(df, top, [source]).withColumn(out, F.col(label) + F.col("_s")).drop("_s")
+
+
+def class_size(df: DataFrame, source: Names, label: str) -> DataFrame:
+    """source, class_size: one more than the largest label."""
+    return df.groupBy(*source).agg((F.max(label) + 1).alias("class_size"))
 
 
 def centroids(df: DataFrame, label: str, v: str) -> DataFrame:
     """label, dim, mean: the mean vector of each label, one row a component."""
     return df.select(label, F.posexplode(v).alias("dim", "_x")).groupBy(label, "dim").agg(F.avg("_x").alias("mean"))
+
+
+def moments(df: DataFrame, source: Names, x: str) -> DataFrame:
+    return df.groupBy(*source).agg(F.avg(x).alias("mean"), F.var_samp(x).alias("var"), F.stddev_samp(x).alias("std"))
+
+
+def repeat_rate(frames: DataFrame, v: str, size: int, out: str = "rate") -> DataFrame:
+    """The share of a frame's places that repeat a symbol."""
+    return frames.withColumn(out, 1 - (F.size(F.array_distinct(v)) - 1) / F.lit(float(size - 1)))
+
+
+def pool(frames: DataFrame, v: str, size: int) -> DataFrame:
+    """edge_sum, edge_mean, sum and mean of each frame."""
+    edge, total = F.get(v, F.lit(0)) + F.get(v, F.lit(size - 1)), F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return frames.withColumns({"edge_sum": edge, "edge_mean": edge / 2, "sum": total, "mean": total / size})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import pointwise as P
 from ..operators import sequence as S
+from ..operators import windows as W
+from ..operators.blocks import indexed
 
 SRC, ORD = ["event_type"], ["ts", "event_id"]
 _W = "OVER (PARTITION BY event_type ORDER BY ts, event_id)"
@@ -19,16 +21,21 @@ def signal(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "user_id", (F.col("value") - 250).alias("x"))
 
 
+def samples(spark, sf_dir: str) -> DataFrame:
+    """The signal with the place ``t`` of each sample in its source."""
+    return indexed(signal(spark, sf_dir), SRC, ORD)
+
+
 def _r(c):
     return F.round(c, 6)
 
 
 def _symbols(spark, d):
-    return S.normalize(signal(spark, d), SRC, "x").withColumn("q", P.mu_law_compress(F.col("y")))
+    return S.normalize(samples(spark, d), SRC, "x").withColumn("q", P.mu_law_compress(F.col("y")))
 
 
 def mulaw_runs(spark, d):
-    runs = S.runs(_symbols(spark, d), SRC, ORD, "q")
+    runs = S.runs(_symbols(spark, d), SRC, "t", "q")
     return runs.groupBy("event_type", F.col("label").alias("q")).agg(F.count("*").alias("n_runs"), F.sum(F.col("stop") - F.col("start")).alias("n_samples"))
 
 
@@ -59,36 +66,36 @@ def activations(spark, d):
 
 
 def emphasis(spark, d):
-    return S.emphasis(signal(spark, d), SRC, ORD, "x", 0.9).select("event_id", _r("y").alias("y"))
+    return S.emphasis(samples(spark, d), SRC, "t", "x", 0.9).select("event_id", _r("y").alias("y"))
 
 
 def diff_over_time(spark, d):
-    return S.difference(signal(spark, d), SRC, ORD, "x").select("event_id", _r("y").alias("y"))
+    return S.difference(samples(spark, d), SRC, "t", "x").select("event_id", _r("y").alias("y"))
 
 
 def zero_crossings(spark, d):
-    return S.zero_crossings(signal(spark, d), SRC, ORD, "x").select("event_id", "up", "down")
+    return S.zero_crossings(samples(spark, d), SRC, "t", "x").select("event_id", "up", "down")
 
 
 def local_max(spark, d):
-    return S.local_max(signal(spark, d), SRC, ORD, "x").select("event_id", "peak")
+    return S.local_max(samples(spark, d), SRC, "t", "x").select("event_id", "peak")
 
 
 def segments(spark, d):
-    return S.runs(signal(spark, d), ["user_id"], ORD, "event_type")
+    return S.runs(indexed(signal(spark, d), ["user_id"], ORD), ["user_id"], "t", "event_type")
 
 
 def cuts_to_labels(spark, d):
-    return S.cut_labels(signal(spark, d), SRC, ORD, F.col("x") > 200).select("event_id", "label")
+    return S.cut_labels(samples(spark, d), SRC, "t", F.col("x") > 200).select("event_id", "label")
 
 
 def frames_tumbling(spark, d):
-    return S.tumbling(signal(spark, d), SRC, ORD, "x", 8).select("event_type", "frame", _r(F.get("v", F.lit(0)) + F.get("v", F.lit(7))).alias("edge_sum"))
+    return S.tumbling(samples(spark, d), SRC, "t", "x", 8).select("event_type", "frame", F.posexplode("v").alias("i", "x")).select("event_type", "frame", "i", _r("x").alias("x"))
 
 
 def repeat_rate(spark, d):
-    f = S.tumbling(_symbols(spark, d), SRC, ORD, "q", 16)
-    return f.select("event_type", "frame", _r(1 - (F.size(F.array_distinct("v")) - 1) / F.lit(15.0)).alias("rate"))
+    f = S.tumbling(_symbols(spark, d), SRC, "t", "q", 16)
+    return W.repeat_rate(f, "v", 16).select("event_type", "frame", _r("rate").alias("rate"))
 
 
 def label_histogram(spark, d):
@@ -126,13 +133,13 @@ greatest(z, 0.0::DOUBLE) AS relu, round(tanh(z) / (1 + exp(z)), 6) AS gate, roun
     "emphasis": f"SELECT event_id, round(x - 0.9::DOUBLE * lag(x, 1, 0.0::DOUBLE) {_W}, 6) AS y FROM {_C}",
     "diff_over_time": f"SELECT event_id, round(x - lag(x) {_W}, 6) AS y FROM {_C}",
     "zero_crossings": f"SELECT event_id, coalesce(lag(x) {_W} < 0 AND x > 0, false) AS up, coalesce(lag(x) {_W} > 0 AND x < 0, false) AS down FROM {_C}",
-    "local_max": f"SELECT event_id, coalesce(x > lag(x) {_W} AND x >= lead(x) {_W}, false) AS peak FROM {_C}",
+    "local_max": f"SELECT event_id, coalesce(x > lag(x) {_W} AND x >= lead(x, 1, x) {_W}, false) AS peak FROM {_C}",
     "segments": """WITH a AS (SELECT *, row_number() OVER w - 1 AS t, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS seg_id FROM a)
 SELECT user_id, seg_id, min(event_type) AS label, min(t) AS start, max(t) + 1 AS stop FROM b GROUP BY ALL""",
     "cuts_to_labels": f"SELECT event_id, CAST(sum(CASE WHEN x > 200 THEN 1 ELSE 0 END) {_W} AS BIGINT) AS label FROM {_C}",
     "frames_tumbling": f"""WITH a AS (SELECT event_type, x, row_number() {_W} - 1 AS t FROM {_C})
-SELECT event_type, t // 8 AS frame, round(min(x) FILTER (t % 8 = 0) + min(x) FILTER (t % 8 = 7), 6) AS edge_sum FROM a GROUP BY ALL HAVING count(*) = 8""",
+SELECT event_type, t // 8 AS frame, CAST(t % 8 AS INTEGER) AS i, round(x, 6) AS x FROM a WHERE t // 8 * 8 + 8 <= (SELECT count(*) FROM events e WHERE e.event_type = a.event_type)""",
     "repeat_rate": f"""WITH a AS (SELECT event_type, q, row_number() {_W} - 1 AS t FROM {_Q})
 SELECT event_type, t // 16 AS frame, round(1 - (count(DISTINCT q) - 1) / 15.0::DOUBLE, 6) AS rate FROM a GROUP BY ALL HAVING count(*) = 16""",
     "label_histogram": f"SELECT event_type, CAST(least(floor((x + 250) / 500 * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM {_C} WHERE x BETWEEN -250 AND 250 GROUP BY ALL",

@@ -9,15 +9,14 @@ from ..functions import pointwise as P
 from ..functions import units as U
 from ..operators import sequence as S
 from ..operators import windows as W
-from .signal_queries import _C, _N, _Q, _r, signal
+from .signal_queries import _C, _N, _Q, _r, samples, signal
 
 SRC, ORD = ["event_type"], ["ts", "event_id"]
 
 
 def _samples(spark, d):
     """Signal with ``t``, normalised ``y``, symbol ``q`` and the sample ``o`` that the symbol stands for."""
-    x = W.indexed(signal(spark, d), SRC, ORD)
-    return S.normalize(x, SRC, "x").withColumn("q", P.mu_law_compress(F.col("y"))).withColumn("o", P.mu_law_expand(F.col("q")))
+    return S.normalize(samples(spark, d), SRC, "x").withColumn("q", P.mu_law_compress(F.col("y"))).withColumn("o", P.mu_law_expand(F.col("q")))
 
 
 def _embeddings(spark, d):
@@ -37,21 +36,21 @@ def deemphasis(spark, d):
 
 
 def remove_dc(spark, d):
-    return W.remove_dc(W.indexed(signal(spark, d), SRC, ORD), SRC, "t", "x").select("event_id", F.round("y", 5).alias("y"))
+    return W.remove_dc(samples(spark, d), SRC, "t", "x").select("event_id", F.round("y", 5).alias("y"))
 
 
 def slices_strided(spark, d):
-    s = W.slices(W.indexed(signal(spark, d), SRC, ORD), SRC, "t", "x", length=9, hop=4, shift=2, stride=4)
-    return s.select("event_type", "start", _r(F.get("v", F.lit(0)) - F.get("v", F.lit(1)) + F.get("v", F.lit(2))).alias("y"))
+    s = W.slices(samples(spark, d), SRC, "t", "x", length=9, hop=4, shift=2, stride=4)
+    return s.select("event_type", "start", F.posexplode("v").alias("i", "x")).select("event_type", "start", "i", _r("x").alias("x"))
 
 
 def moving_min(spark, d):
-    return W.moving_min(W.indexed(signal(spark, d), SRC, ORD), SRC, "t", "x", 4, 3).select("event_id", "y")
+    return W.moving_min(samples(spark, d), SRC, "t", "x", 4, 3).select("event_id", "y")
 
 
 def snap_crossings(spark, d):
-    z = S.zero_crossings(W.indexed(signal(spark, d), SRC, ORD), SRC, ORD, "x")
-    return W.snap(z.withColumn("mark", F.col("up")), SRC, "t", "mark").select("event_id", "snapped")
+    z = S.sign_changes(samples(spark, d), SRC, "t", "x")
+    return W.snap(z, SRC, "t", "change").select("event_id", "snapped")
 
 
 def rank_values(spark, d):
@@ -67,17 +66,16 @@ def label_offsets(spark, d):
 
 
 def quantiles(spark, d):
-    return signal(spark, d).groupBy("event_type").agg(_r(F.percentile("x", F.lit(0.25))).alias("q25"), _r(F.percentile("x", F.lit(0.9))).alias("q90"))
+    return W.quantile(signal(spark, d), SRC, "x", {"q25": 0.25, "q90": 0.9}).select("event_type", _r("q25").alias("q25"), _r("q90").alias("q90"))
 
 
 def moments(spark, d):
-    return signal(spark, d).groupBy("event_type").agg(_r(F.avg("x")).alias("mean"), F.round(F.var_samp("x"), 4).alias("var"), _r(F.stddev_samp("x")).alias("std"))
+    return W.moments(signal(spark, d), SRC, "x").select("event_type", _r("mean").alias("mean"), F.round("var", 4).alias("var"), _r("std").alias("std"))
 
 
 def frame_pooling(spark, d):
-    f = S.tumbling(signal(spark, d), SRC, ORD, "x", 8)
-    edge, total = F.get("v", F.lit(0)) + F.get("v", F.lit(7)), F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return f.select("event_type", "frame", _r(edge).alias("edge_sum"), _r(edge / 2).alias("edge_mean"), _r(total).alias("sum"), _r(total / 8).alias("mean"))
+    f = W.pool(S.tumbling(samples(spark, d), SRC, "t", "x", 8), "v", 8)
+    return f.select("event_type", "frame", *[_r(c).alias(c) for c in ("edge_sum", "edge_mean", "sum", "mean")])
 
 
 def centroids(spark, d):
@@ -107,24 +105,27 @@ def angular_pairs(spark, d):
 
 
 def soft_max(spark, d):
-    e = _embeddings(spark, d)
-    glu = F.zip_with(F.slice("v", 1, 32), F.slice("v", 33, 32), lambda a, b: a * P.sigmoid(b))
-    return e.select("vec_id", _r(F.array_max(P.soft_max(F.col("v")))).alias("top"), _r(F.aggregate(glu, F.lit(0.0), lambda a, x: a + x)).alias("glu_sum"))
+    e = _embeddings(spark, d).select("vec_id", F.posexplode(P.soft_max(F.col("v"))).alias("i", "p"))
+    return e.select("vec_id", "i", F.round("p", 8).alias("p"))
+
+
+def glu(spark, d):
+    return _embeddings(spark, d).select("vec_id", F.posexplode(P.glu(F.col("v"), 32)).alias("i", "y")).select("vec_id", "i", _r("y").alias("y"))
 
 
 def odd_reflection(spark, d):
     e = _embeddings(spark, d)
-    return e.select("vec_id", F.posexplode(P.odd_reflect(F.col("v"), 5)).alias("i", "x")).where("i < 2 or i > 65").select("vec_id", "i", _r("x").alias("x"))
+    return e.select("vec_id", F.posexplode(P.odd_reflect(F.col("v"), 5)).alias("i", "x")).select("vec_id", "i", _r("x").alias("x"))
 
 
 def unit_conversions(spark, d):
     t = F.col("event_id")
     return signal(spark, d).select("event_id", U.samples_to_frames(t, 2048, 512, as_length=True).alias("frames"), U.frames_to_samples(t, 2048, 512, as_length=True).alias("samples"),
-                                   _r(U.samples_to_seconds(t, 16000)).alias("seconds"), U.seconds_to_samples(t / 4, 22050).alias("from_seconds"))
+                                   F.round(U.samples_to_seconds(t, 16000), 8).alias("seconds"), U.seconds_to_samples(t / 4, 22050).alias("from_seconds"))
 
 
 QUERIES = {f.__name__: f for f in (alaw_compress, alaw_expand, deemphasis, remove_dc, slices_strided, moving_min, snap_crossings, rank_values, running_entropy, label_offsets, quantiles, moments,
-                                   frame_pooling, centroids, mean_l1_prop, diff_loss, maximize_losses, cross_entropy, angular_pairs, soft_max, odd_reflection, unit_conversions)}
+                                   frame_pooling, centroids, mean_l1_prop, diff_loss, maximize_losses, cross_entropy, angular_pairs, soft_max, glu, odd_reflection, unit_conversions)}
 
 _I = "row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t"
 _T = "OVER (PARTITION BY event_type ORDER BY t)"
@@ -149,16 +150,16 @@ ELSE (1 + ln(87.6::DOUBLE * abs(y))) / {_K} END + 1) / 2 * 255))) AS BIGINT) AS
     "alaw_expand": f"SELECT event_id, {_expand('u')} AS y, {_expand('(u - 1)')} AS centered FROM (SELECT event_id, 2 * q / 256.0::DOUBLE AS u FROM {_Q})",
     "deemphasis": _response("0.1::DOUBLE * y", "0.9", 6),
     "remove_dc": _response(f"x - lag(x, 1, 0.0::DOUBLE) {_T}", "0.99"),
-    "slices_strided": f"""SELECT event_type, t AS start, round(a - b + c, 6) AS y FROM (SELECT event_type, t, lead(x, 2) {_T} AS a, lead(x, 6) {_T} AS b, lead(x, 10) {_T} AS c FROM {_X})
-WHERE t % 4 = 0 AND c IS NOT NULL""",
-    "moving_min": f"SELECT event_id, min(x) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS y FROM {_X}",
-    "snap_crossings": f"""WITH a AS (SELECT *, CASE WHEN lag(x) {_T} < 0 AND x > 0 THEN t END AS m FROM {_X}),
+    "slices_strided": f"""WITH a AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS n FROM {_X})
+SELECT s.event_type, s.t AS start, CAST(k AS INTEGER) AS i, round(v.x, 6) AS x FROM a s, range(3) AS r(k) JOIN a v ON v.event_type = s.event_type AND v.t = s.t + 2 + 4 * k WHERE s.t % 4 = 0 AND s.t + 10 < s.n""",
+    "moving_min": f"""SELECT event_id, CASE WHEN t < 4 OR t + 3 >= count(*) OVER (PARTITION BY event_type) THEN min(x) OVER (PARTITION BY event_type)
+ELSE min(x) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) END AS y FROM {_X}""",
+    "snap_crossings": f"""WITH a AS (SELECT *, CASE WHEN t = 0 OR (lag(x) {_T} < 0) <> (x < 0) THEN t END AS m FROM {_X}),
 b AS (SELECT event_id, t, max(m) {_T} AS p, min(m) OVER (PARTITION BY event_type ORDER BY t DESC) AS n FROM a)
 SELECT event_id, CASE WHEN n IS NULL OR t - p <= n - t THEN p ELSE n END AS snapped FROM b""",
     "rank_values": f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY x, event_id) - 1 AS rank FROM {_C}",
-    "running_entropy": f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY event_type, q ORDER BY t)::DOUBLE AS c FROM {_S}),
-b AS (SELECT *, c * ln(c) - CASE WHEN c > 1 THEN (c - 1) * ln(c - 1) ELSE 0 END AS d FROM a)
-SELECT event_id, round(ln((t + 1)::DOUBLE) - sum(d) {_T} / (t + 1), 6) AS entropy FROM b""",
+    "running_entropy": f"""WITH c AS (SELECT s.event_type, s.t, s.event_id, e.q, count(*)::DOUBLE / (s.t + 1) AS p FROM {_S} s JOIN {_S} e ON e.event_type = s.event_type AND e.t <= s.t GROUP BY s.event_type, s.t, s.event_id, e.q)
+SELECT event_id, round(-sum(p * ln(p)), 6) AS entropy FROM c GROUP BY event_id""",
     "label_offsets": """WITH n AS (SELECT event_type, max(user_id) + 1 AS n FROM events GROUP BY 1)
 SELECT event_id, user_id + CAST(coalesce((SELECT sum(n.n) FROM n WHERE n.event_type < events.event_type), 0) AS BIGINT) AS label_all FROM events""",
     "quantiles": f"SELECT event_type, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.9), 6) AS q90 FROM {_C} GROUP BY 1",
@@ -173,10 +174,9 @@ SELECT round(avg(l / CASE WHEN s < 1 THEN s + greatest(l, 1e-8::DOUBLE) ELSE s E
     "cross_entropy": f"SELECT round(avg(ln(list_sum(list_transform(v, lambda x: exp(x)))) - v[label + 1]), 6) AS loss FROM {_E}",
     "angular_pairs": f"""SELECT a.vec_id, round(acos(greatest(-(1 - 5e-9::DOUBLE), least(1 - 5e-9::DOUBLE, list_dot_product(a.v, b.v) / greatest(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 1e-8::DOUBLE)))) / pi(), 6) AS distance
 FROM {_E} a JOIN {_E} b ON b.vec_id = a.vec_id + 1""",
-    "soft_max": f"""SELECT vec_id, round(exp(list_max(v)) / list_sum(list_transform(v, lambda x: exp(x))), 6) AS top,
-round(list_sum(list_transform(range(1, 33), lambda i: v[i] / (1 + exp(-v[i + 32])))), 6) AS glu_sum FROM {_E}""",
-    "odd_reflection": f"""SELECT vec_id, i, round(x, 6) AS x FROM (SELECT vec_id, 0 AS i, 2 * v[1] - v[3] AS x FROM {_E} UNION ALL SELECT vec_id, 1, 2 * v[1] - v[2] FROM {_E}
-UNION ALL SELECT vec_id, 66, 2 * v[64] - v[63] FROM {_E} UNION ALL SELECT vec_id, 67, 2 * v[64] - v[62] FROM {_E})""",
-    "unit_conversions": """SELECT event_id, CAST(floor((event_id - 1536) / 512.0::DOUBLE) AS BIGINT) AS frames, event_id * 512 + 1536 AS samples, round(event_id / 16000.0::DOUBLE, 6) AS seconds,
+    "soft_max": f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(exp(v[i]) / list_sum(list_transform(v, lambda x: exp(x))), 8) AS p FROM {_E}, range(1, 65) AS r(i)",
+    "glu": f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(v[i] / (1 + exp(-v[i + 32])), 6) AS y FROM {_E}, range(1, 33) AS r(i)",
+    "odd_reflection": f"""SELECT vec_id, CAST(i + 1 AS INTEGER) AS i, round(CASE WHEN i < 1 THEN 2 * v[1] - v[2 - i] WHEN i > 64 THEN 2 * v[64] - v[128 - i] ELSE v[i] END, 6) AS x FROM {_E}, range(-1, 67) AS r(i)""",
+    "unit_conversions": """SELECT event_id, CAST(floor((event_id - 1536) / 512.0::DOUBLE) AS BIGINT) AS frames, event_id * 512 + 1536 AS samples, round(event_id / 16000.0::DOUBLE, 8) AS seconds,
 CAST(trunc(event_id / 4.0::DOUBLE * 22050) AS BIGINT) AS from_seconds FROM events""",
 }
