@@ -70,17 +70,19 @@ def running(df: DataFrame, source: Names, t: str, x: Column, out: str, how: str
     return d.withColumn(out, both(own, F.col("_carry"))).drop("_x", "_block", "_total", "_carry", "_own")
 
 
-def reflected(df: DataFrame, source: Names, t: str, x: str, left: int, right: int, odd: bool = False, edge: bool = False) -> DataFrame:
-    """(source, t, x) with rows beyond both ends: mirrored through the end samples (``odd``: with their values
-    mirrored too; ``edge``: the end samples themselves doubled). ``n`` is the source's length."""
-    d = join_by(df.select(*source, t, x), lengths(df, source), source)
+def reflected(df: DataFrame, source: Names, t: str, x: str, left: int, right: int, odd: bool = False, edge: bool = False, n: str | None = None) -> DataFrame:
+    """(source, t, x, n) with rows beyond both ends: mirrored through the end samples (``odd``: with their values
+    mirrored too; ``edge``: the end samples themselves doubled). ``n`` is the source's length, taken from the column
+    of that name if there is one. A row makes its own mirrored copies, so the signal is read once."""
+    d = df.select(*source, t, x, F.col(n).alias("n")) if n else join_by(df.select(*source, t, x), lengths(df, source), source)
     e = 1 if edge else 0
     near_start, near_end = F.col(t).between(1 - e, left - e), F.col(t).between(F.col("n") - 1 - right + e, F.col("n") - 2 + e)
-    low, high = d.where(near_start), d.where(near_end)
+    low, high = F.col(x), F.col(x)
     if odd:
-        first = d.where(F.col(t) == 0).select(*source, F.col(x).alias("_e"))
-        last = d.where(F.col(t) == F.col("n") - 1).select(*source, F.col(x).alias("_e"))
-        low, high = (join_by(p, q, source).withColumn(x, 2 * F.col("_e") - F.col(x)).drop("_e") for p, q in ((low, first), (high, last)))
-    low = low.withColumn(t, -F.col(t) - e)
-    high = high.withColumn(t, 2 * (F.col("n") - 1) - F.col(t) + e)
-    return d.unionByName(low).unionByName(high)
+        ends = d.groupBy(*source).agg(F.max(F.when(F.col(t) == 0, F.col(x))).alias("_first"), F.max(F.when(F.col(t) == F.col("n") - 1, F.col(x))).alias("_last"))
+        d = join_by(d, ends, source)
+        low, high = 2 * F.col("_first") - F.col(x), 2 * F.col("_last") - F.col(x)
+    one = lambda at, v: F.struct(at.cast("long").alias("t"), v.alias("x"))
+    made = F.array(one(F.col(t), F.col(x)), F.when(near_start, one(-F.col(t) - e, low)), F.when(near_end, one(2 * (F.col("n") - 1) - F.col(t) + e, high)))
+    d = d.select(*source, "n", F.explode(F.array_compact(made)).alias("_e"))
+    return d.select(*source, F.col("_e.t").alias(t), F.col("_e.x").alias(x), "n")

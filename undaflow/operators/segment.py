@@ -130,7 +130,8 @@ class CutsFromNovelty:
 def envelope_and_slope(df: DataFrame, source: Names, t: str, x: str, n_fft: int, overlap: int, max_lag: int) -> DataFrame:
     """(source, t, env, grad): the normalised envelope and its normalised derivative, both taken to the samples' grid linearly."""
     e = envelope(df, source, t, x, n_fft, n_fft // overlap, normalize=True, interp=False)
-    g = derivative(e, source, t, "env", max_lag, normalize=True, out="grad")
+    e = materialize(e, "env")
+    g = materialize(derivative(e, source, t, "env", max_lag, normalize=True, out="grad"), "grad")
     size = lengths(df, source, "_all")
 
     def spread(d: DataFrame, c: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
+from ..session import materialize
 from .arrays import apply, lists, matrix, project
 from .blocks import Names, join_by, lengths, near, reflected
 from .windows import slices
@@ -20,11 +21,11 @@ COORDINATES = {"pol": ["mag", "ang"], "car": ["re", "im"], "mag": ["mag"], "angl
 
 
 def whole_hops(df: DataFrame, source: Names, t: str, n_fft: int, hop: int, center: bool, alignment: str | None) -> DataFrame:
-    """The signal cut to a whole number of hops: ``end`` keeps its tail, ``start`` its head; ``t`` counts from 0 again."""
-    if alignment is None:
-        return df
+    """The signal cut to a whole number of hops: ``end`` keeps its tail, ``start`` its head; ``t`` counts from 0 again. ``_n`` is its length."""
     extra = 0 if center else n_fft - hop
     d = join_by(df, lengths(df, source, "_n"), source)
+    if alignment is None:
+        return d
     target = F.floor((F.col("_n") - extra) / F.lit(float(hop))).cast("long") * hop + extra
     if alignment == "end":
         d = d.withColumn(t, F.col(t) - (F.col("_n") - target)).where(F.col(t) >= 0)
@@ -32,20 +33,22 @@ def whole_hops(df: DataFrame, source: Names, t: str, n_fft: int, hop: int, cente
         d = d.where(F.col(t) < target)
     else:
         raise ValueError(f"unknown alignment {alignment!r}")
-    return d.drop("_n")
+    return d.withColumn("_n", target)
 
 
-def padded(df: DataFrame, source: Names, t: str, x: str, pad: int, mode: str = "constant") -> DataFrame:
-    """(source, t, x) with ``pad`` samples more at both ends, zeros or (``reflect``) mirrored ones; ``t`` from 0 on."""
+def padded(df: DataFrame, source: Names, t: str, x: str, pad: int, mode: str = "constant", n: str = "_n") -> DataFrame:
+    """(source, t, x, n) with ``pad`` samples more at both ends, zeros or (``reflect``) mirrored ones; ``t`` from 0 on. The first
+    sample makes the zeros of its source."""
     if mode == "reflect":
-        d = reflected(df, source, t, x, pad, pad).select(*source, t, x)
+        d = reflected(df, source, t, x, pad, pad, n=n).withColumnRenamed("n", n)
     elif mode == "constant":
-        ends = F.concat(F.sequence(F.lit(-pad), F.lit(-1)), F.transform(F.sequence(F.lit(0), F.lit(pad - 1)), lambda i: i + F.col("_n")))
-        zeros = lengths(df, source, "_n").select(*source, F.explode(ends).alias(t), F.lit(0.0).alias(x))
-        d = df.select(*source, t, x).unionByName(zeros.select(*source, F.col(t).cast("long").alias(t), x))
+        places = F.concat(F.sequence(F.lit(-pad), F.lit(-1)), F.transform(F.sequence(F.lit(0), F.lit(pad - 1)), lambda i: i + F.col(n)))
+        zeros = F.transform(places, lambda i: F.struct(i.cast("long").alias("t"), F.lit(0.0).alias("x")))
+        own = F.array(F.struct(F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x")))
+        d = df.select(*source, n, F.explode(F.when(F.col(t) == 0, F.concat(own, zeros)).otherwise(own)).alias("_e")).select(*source, n, F.col("_e.t").alias(t), F.col("_e.x").alias(x))
     else:
         raise ValueError(f"unknown padding {mode!r}")
-    return d.withColumn(t, F.col(t) + pad)
+    return d.withColumns({t: F.col(t) + pad, n: F.col(n) + 2 * pad})
 
 
 def stft(df: DataFrame, source: Names, t: str, x: str, n_fft: int, hop: int, coordinate: str = "pol", center: bool = True,
@@ -54,7 +57,7 @@ def stft(df: DataFrame, source: Names, t: str, x: str, n_fft: int, hop: int, coo
     d = whole_hops(df.select(*source, t, x), source, t, n_fft, hop, center, alignment)
     if center:
         d = padded(d, source, t, x, n_fft // 2, pad_mode)
-    f = slices(d, source, t, x, n_fft, hop).withColumn("frame", F.col("start").cast("long") / hop).withColumn("frame", F.col("frame").cast("long")).drop("start")
+    f = slices(d, source, t, x, n_fft, hop, n="_n").withColumn("frame", (F.col("start") / hop).cast("long")).drop("start")
     w = M.window(window, n_fft)
     parts = {"mag": np.abs, "ang": np.angle, "re": np.real, "im": np.imag}
 
@@ -150,6 +153,7 @@ def chroma(frames: DataFrame, mag: str, n_fft: int, n_chroma: int = 12, rate: fl
 def hpss(frames: DataFrame, source: Names, t: str, v: str, kernel: int = 31, power: float = 2.0, margin: float = 1.0) -> DataFrame:
     """``harmonic`` and ``percussive``: the spectrum under soft masks of its medians over time and over frequency."""
     h = kernel // 2
+    frames = materialize(frames.select(*source, t, v), "frames")
     bins = frames.select(*source, t, F.posexplode(v).alias("bin", "x"))
     wide = reflected(bins, [*source, "bin"], t, "x", h, h, edge=True)
     wide = wide.withColumn("_at", F.col(t) + h)
@@ -198,7 +202,7 @@ def _grid(d: DataFrame, source: Names, t: str, x: str, m, mode: str = "linear")
 def envelope(df: DataFrame, source: Names, t: str, x: str, n_fft: int, hop: int, normalize: bool = True, window: str | None = "hann", interp: bool = True, out: str = "env") -> DataFrame:
     """source, t, env: the sum of magnitudes of each frame, taken to the samples' grid, over its largest."""
     f = mag_spec(df, source, t, x, n_fft, hop, center=True, window=window, pad_mode="reflect")
-    f = f.select(*source, F.col("frame").alias(t), F.aggregate("mag", F.lit(0.0), lambda a, m: a + m).alias(out))
+    f = materialize(f.select(*source, F.col("frame").alias(t), F.aggregate("mag", F.lit(0.0), lambda a, m: a + m).alias(out)), "envelope")
     if interp:
         d = join_by(f, lengths(f, source, "_n"), source)
         d = join_by(near(d, source, t, 0, 1, {"_next": lambda w: F.lead(out).over(w)}), lengths(df, source, "_all"), source)

@@ -43,18 +43,20 @@ def remove_dc(df: DataFrame, source: Names, t: str, x: str, pole: float = 0.99,
     return recurrence(d, source, t, "_b", pole, out).drop("_b")
 
 
-def slices(df: DataFrame, source: Names, t: str, x: str, length: int, hop: int = 1, shift: int = 0, stride: int = 1) -> DataFrame:
+def slices(df: DataFrame, source: Names, t: str, x: str, length: int, hop: int = 1, shift: int = 0, stride: int = 1, n: str | None = None) -> DataFrame:
     """source, start, v: the whole windows x[start + shift : start + shift + length : stride] at every ``hop``.
 
-    Each sample goes to the windows it is in, so no row holds a window that is not kept; nulls keep their place."""
+    Each sample goes to the windows it is in, so no row holds a window that is not kept; nulls keep their place.
+    ``n`` names a column with the source's length, which is counted otherwise."""
     t_, last = F.col(t), shift + length - 1
     low = F.greatest(F.ceil((t_ - last) / F.lit(float(hop))).cast("long"), F.lit(0).cast("long"))
     high = F.floor((t_ - shift) / F.lit(float(hop))).cast("long")
-    d = df.select(*source, t_.alias("_t"), F.col(x).alias("_x"), F.explode(F.when(high >= low, F.sequence(low, high, F.lit(1).cast("long")))).alias("_k"))
+    sized = df.withColumn("_n", F.col(n)) if n else join_by(df, lengths(df, source, "_n"), source)
+    d = sized.select(*source, "_n", t_.alias("_t"), F.col(x).alias("_x"), F.explode(F.when(high >= low, F.sequence(low, high, F.lit(1).cast("long")))).alias("_k"))
     d = d.withColumn("start", F.col("_k") * hop).withColumn("_i", F.col("_t") - F.col("start") - shift)
     # whether the window is whole shows in its last place, also where the stride leaves that out
-    n = join_by(d.where(F.col("_i") % stride == 0), lengths(df, source, "_n"), source).where(F.col("start") + last < F.col("_n"))
-    return n.groupBy(*source, "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("v"))
+    d = d.where((F.col("_i") % stride == 0) & (F.col("start") + last < F.col("_n")))
+    return d.groupBy(*source, "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("v"))
 
 
 def moving_min(df: DataFrame, source: Names, t: str, x: str, before: int, after: int, out: str = "y") -> DataFrame:

@@ -328,7 +328,7 @@ WHERE s.t % 4 = 0 AND s.t + 8 < s.n""",
     "entropy_signed": f"""WITH c AS (SELECT s.event_type, s.t, e.q, count(*)::DOUBLE / (s.t + 1) AS p FROM {_S} s JOIN {_S} e ON e.event_type = s.event_type AND e.t <= s.t GROUP BY s.event_type, s.t, e.q),
 h AS (SELECT event_type, t, -sum(p * ln(p)) AS h FROM c GROUP BY ALL), n AS (SELECT *, lead(h, 1, 0.0::DOUBLE) OVER (PARTITION BY event_type ORDER BY t) AS n FROM h)
 SELECT event_type, round(sum(CASE WHEN abs(n - h) < 1e-13 THEN 0 ELSE sign(n - h) * h END), 4) AS total FROM n GROUP BY 1""",
-    "k_best": """SELECT user_id, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT user_id, event_type, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM events GROUP BY ALL) GROUP BY 1 ORDER BY 2, 1 LIMIT 10""",
+    "k_best": """SELECT user_id, round(-sum(share * ln(share)), 6) AS entropy FROM (SELECT user_id, event_type, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id) AS share FROM events GROUP BY user_id, event_type) GROUP BY 1 ORDER BY 2, 1 LIMIT 10""",
     "epoch_means": f"SELECT event_id % 7 AS epoch, event_type AS name, round(avg(x), 6) AS mean FROM {_C} GROUP BY ALL",
     "spectrum_sums": f"SELECT vec_id, round(list_sum(v), 6) AS total FROM {_E}",
     "seed_tails": f"SELECT event_type, 4 - (n - 1 - t) AS t, round(x, 6) AS x FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS n FROM {_X}) WHERE t >= n - 5",

@@ -60,7 +60,8 @@ def chroma(spark, d):
 
 
 def hpss(spark, d):
-    return _long(S.hpss(_frames(spark, d), SRC, "frame", "mag", kernel=5), ["event_type", "frame"], harmonic="harmonic", percussive="percussive")
+    h = S.hpss(_frames(spark, d), SRC, "frame", "mag", kernel=5).select("event_type", "frame", F.posexplode(F.arrays_zip("harmonic", "percussive")).alias("bin", "z"))
+    return h.select("event_type", "frame", "bin", F.round("z.harmonic", 8).alias("harmonic"), F.round("z.percussive", 8).alias("percussive"))
 
 
 def envelope(spark, d):
@@ -191,8 +192,8 @@ FROM {_MEL}, range(3) AS r(c) GROUP BY event_type, f, c""",
     "hpss": f"""WITH w AS MATERIALIZED (SELECT * FROM {_WT}), h AS (SELECT event_type, g, b, median(m) OVER (PARTITION BY event_type, b ORDER BY g ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM w),
 m AS MATERIALIZED (SELECT * FROM {_MAG}), p AS (SELECT event_type, f, b, median(v) AS p FROM (SELECT a.event_type, a.f, a.b, c.m AS v FROM m a, range(-2, 3) AS r(o) JOIN m c ON c.event_type = a.event_type AND c.f = a.f
 AND c.b = CASE WHEN a.b + o < 0 THEN -1 - (a.b + o) WHEN a.b + o > 8 THEN 17 - (a.b + o) ELSE a.b + o END) GROUP BY ALL)
-SELECT m.event_type, m.f AS frame, CAST(m.b AS INTEGER) AS bin, round(m.m * CASE WHEN greatest(h, p) < 1.2e-38 THEN 0.5 ELSE h * h / (h * h + p * p) END, 6) AS harmonic,
-round(m.m * CASE WHEN greatest(h, p) < 1.2e-38 THEN 0.5 ELSE p * p / (h * h + p * p) END, 6) AS percussive FROM m JOIN h ON h.event_type = m.event_type AND h.g = m.f AND h.b = m.b JOIN p ON p.event_type = m.event_type AND p.f = m.f AND p.b = m.b""",
+SELECT m.event_type, m.f AS frame, CAST(m.b AS INTEGER) AS bin, round(m.m * CASE WHEN greatest(h, p) < 1.2e-38 THEN 0.5 ELSE h * h / (h * h + p * p) END, 8) AS harmonic,
+round(m.m * CASE WHEN greatest(h, p) < 1.2e-38 THEN 0.5 ELSE p * p / (h * h + p * p) END, 8) AS percussive FROM m JOIN h ON h.event_type = m.event_type AND h.g = m.f AND h.b = m.b JOIN p ON p.event_type = m.event_type AND p.f = m.f AND p.b = m.b""",
     "envelope": f"SELECT event_type, t, round(y, 6) AS env FROM {_env(16, 8)}",
     "envelope_bank": f"SELECT event_type, t, 0::INTEGER AS bin, round(y, 6) AS env FROM {_env(16, 8)} UNION ALL SELECT event_type, t, 1::INTEGER, round(y, 6) FROM {_env(32, 16)}",
     "interpolate_linear": f"""WITH s AS (SELECT * FROM {_T}), g AS (SELECT event_type, n, unnest(range(2 * n)) AS j FROM (SELECT DISTINCT event_type, n FROM s)),
