@@ -9,14 +9,18 @@ not read; repeated rows give repeated rows; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .transducer import Merges, Transducer, WordTable, split
 
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = public_tokenizers.PATTERN
 
 _TRANSDUCERS: dict = {}
 
@@ -128,62 +132,84 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", id
     return _columns(df, key, text).mapInArrow(run, schema)
 
 
-class Counter:
-    """Token counts of chunks as elements of a monoid.
+def special_strings(path: str) -> tuple[str, ...]:
+    """The special strings that a tokenizer file names."""
+    with open(path, encoding="utf-8") as f:
+        found = tuple(t["content"] for t in json.load(f).get("added_tokens", []))
+    if any(c.isspace() for s in found for c in s):
+        raise ValueError("special strings with white space could lie across boundaries")
+    return found
+
+
+class StateMap(NamedTuple):
+    """What a chunk does to the state that enters it.
+
+    A state is the open pre-token: the text since the last boundary. A non-space followed by white space is a boundary
+    whatever stands around it, so all states meet at the chunk's first one. The map sends state s to the count of
+    s + ``head`` plus ``count`` and the state ``tail``; a chunk without a boundary (``count`` None) sends s to s + ``head``."""
+
+    head: str
+    count: int | None
+    tail: str
 
-    A non-space followed by white space is a pre-token boundary whatever stands around it. So a chunk
-    maps to (head, count, tail): the text up to its first such boundary, the tokens between its first
-    and last, and the text from its last on; or to (text, None, "") if it has none. Composition is
-    associative, which is what a prefix scan needs; ``scan`` composes neighbours in rounds."""
+
+class Counter:
+    """Token counts by state maps. Counts stand on the transducer's transitions (``Transducer.run``); the maps of a text's chunks
+    are composed by a prefix scan in rounds that double the reach, as composition is associative."""
 
     def __init__(self, path: str, pattern: str = PATTERN, special: tuple[str, ...] = (), chunk: int = 1 << 16):
         self.fst, self.pattern, self.special, self.chunk = transducer(path), pattern, special, chunk
         self.words = WordTable(lambda w: self.fst.run(w.encode("utf-8"))[0])
 
-    def plain(self, text: str) -> int:
-        """Tokens of a stretch whose ends are pre-token boundaries."""
+    def tokens(self, text: str) -> int:
+        """Tokens that a stretch between two boundaries emits from the start state."""
         for s in self.special:
             if s in text:
                 parts = text.split(s)
-                return len(parts) - 1 + sum(map(self.plain, parts))
+                return len(parts) - 1 + sum(map(self.tokens, parts))
         words = self.words
         return sum([words[w] for w in split(self.pattern, text)])
 
-    def lift(self, chunk: str):
-        n, first = len(chunk), 0
-        for first in range(1, n):
-            if chunk[first].isspace() and not _space(chunk[first - 1]) and _space(chunk[first]):
+    def state_map(self, text: str) -> StateMap:
+        first = _BOUNDARY.search(text)
+        if first is None:
+            return StateMap(text, None, "")
+        a = first.start() + 1
+        b = a
+        for back in range(len(text) - 1, a, -1):
+            if _space(text[back]) and not _space(text[back - 1]):
+                b = back
                 break
-        else:
-            return (chunk, None, "")
-        last = next(k for k in range(n - 1, 0, -1) if _space(chunk[k]) and not _space(chunk[k - 1]))
-        return (chunk[:first], self.plain(chunk[first:last]), chunk[last:])
-
-    def join(self, a, b):
-        if a[1] is None and b[1] is None:
-            return self._open(a[0] + b[0])
-        if a[1] is None:
-            h = self._open(a[0] + b[0])
-            return (h[0], b[1], b[2]) if h[1] is None else (h[0], h[1] + self.plain(h[2]) + b[1], b[2])
-        if b[1] is None:
-            t = self._open(a[2] + b[0])
-            return (a[0], a[1], t[0]) if t[1] is None else (a[0], a[1] + self.plain(t[0]) + t[1], t[2])
-        return (a[0], a[1] + self.plain(a[2] + b[0]) + b[1], b[2])
-
-    def _open(self, text: str):
-        return self.lift(text)
-
-    def scan(self, parts: list):
-        while len(parts) > 1:
-            nxt = [self.join(parts[k], parts[k + 1]) for k in range(0, len(parts) - 1, 2)]
-            parts = nxt + parts[len(nxt) * 2 :]
-        return parts[0]
+        return StateMap(text[:a], self.tokens(text[a:b]) if b > a else 0, text[b:])
+
+    def compose(self, f: StateMap, g: StateMap) -> StateMap:
+        """First f, then g: f's open text meets g's head."""
+        if f.count is None:
+            m = self.state_map(f.head + g.head)
+            if m.count is None:
+                return StateMap(m.head, g.count, g.tail)
+            return StateMap(m.head, m.count, m.tail) if g.count is None else StateMap(m.head, m.count + self.tokens(m.tail) + g.count, g.tail)
+        m = self.state_map(f.tail + g.head)
+        open_, n = (m.head, 0) if m.count is None else (m.tail, self.tokens(m.head) + m.count)
+        return StateMap(f.head, f.count + n, open_) if g.count is None else StateMap(f.head, f.count + n + self.tokens(open_) + g.count, g.tail)
+
+    def scan(self, maps: list[StateMap]) -> list[StateMap]:
+        """The composition of every prefix: in each round a prefix takes up the one that ends where it begins."""
+        step = 1
+        while step < len(maps):
+            maps = [m if k < step else self.compose(maps[k - step], m) for k, m in enumerate(maps)]
+            step *= 2
+        return maps
+
+    def total(self, maps: list[StateMap]) -> StateMap:
+        """The last prefix alone, in rounds of neighbours."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0]
 
     def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return self.plain(text)
-        head, n, tail = self.scan([self.lift(text[k : k + self.chunk]) for k in range(0, len(text), self.chunk)])
-        return self.plain(head) if n is None else self.plain(head) + n + self.plain(tail)
+        m = self.total([self.state_map(text[k : k + self.chunk]) for k in range(0, len(text), self.chunk)] or [StateMap("", None, "")])
+        return self.tokens(m.head) + ((m.count + self.tokens(m.tail)) if m.count is not None else 0)
 
 
 def _space(c: str) -> bool:
@@ -191,8 +217,13 @@ def _space(c: str) -> bool:
     return c.isspace() and not "\x1c" <= c <= "\x1f"
 
 
-def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512, special: tuple[str, ...] = ("<|endoftext|>",), chunk: int = 1 << 16) -> DataFrame:
-    """Per row: ``key``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``; a special string in a text counts as one token."""
+#: The first non-space before white space; \x1c to \x1f are no white space for the pattern.
+_BOUNDARY = re.compile(r"[^\s](?=[^\S\x1c-\x1f])|[\x1c-\x1f](?=[^\S\x1c-\x1f])")
+
+
+def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512, special: tuple[str, ...] | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """Per row: ``key``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``; a special string in a text (those the file names, unless given) counts as one token."""
+    special = special_strings(path) if special is None else special
 
     def run(batches):
         counter = _once(Counter, path, PATTERN, special, chunk)
