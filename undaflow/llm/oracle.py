@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+from .settings import OTHER, TARGETS
+
+_WEIGHTS = ", ".join(f"('{k}', {float(v)}::DOUBLE)" for k, v in TARGETS.items())
+
+
+def _uniform(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 ORACLE = {
+    "op7_poisson_mix": f"""
+WITH w(g, weight) AS (VALUES {_WEIGHTS}, ('other sources', {float(OTHER)}::DOUBLE)),
+d AS (SELECT *, CASE WHEN source IN (SELECT g FROM w) THEN source ELSE 'other sources' END AS g FROM documents),
+n AS (SELECT g, count(*) AS n FROM d GROUP BY g),
+r AS (SELECT g, weight / sum(weight) OVER () * sum(n) OVER () / n AS rate FROM n JOIN w USING (g)),
+p AS (SELECT *, greatest(1, CAST(ceil(rate / 8) AS BIGINT)) AS parts FROM r),
+cdf AS (SELECT g, j, sum(exp(-rate / parts) * pow(rate / parts, j) / gamma(j + 1.0)) OVER (PARTITION BY g ORDER BY j) AS c FROM p, range(60) AS q(j)),
+drawn AS (SELECT d.doc_id, d.text, d.g, count(c.j) FILTER ({_uniform("'17'", "CAST(k AS VARCHAR)", "CAST(d.doc_id AS VARCHAR)")} >= c.c) AS copies
+          FROM (SELECT DISTINCT doc_id, text, g FROM d) d JOIN p USING (g), range(64) AS q(k) JOIN cdf c ON c.g = d.g WHERE k < parts GROUP BY ALL),
+row_copies AS (SELECT d.*, x.copies FROM d JOIN drawn x ON x.doc_id IS NOT DISTINCT FROM d.doc_id AND x.text IS NOT DISTINCT FROM d.text AND x.g = d.g)
+SELECT doc_id, source, text, copies AS n_copies, CAST(c AS INTEGER) AS copy, {_uniform("'17place'", "CAST(doc_id AS VARCHAR)", "CAST(c AS VARCHAR)")} AS place
+FROM (SELECT *, unnest(range(1, copies + 1)) AS c FROM row_copies)""",
     "op5_url_lists": """
 WITH e(domain, day, action) AS (VALUES
  ('example.net', DATE '2024-03-01', 'block'), ('example.net', DATE '2024-07-01', 'allow'), ('example.net', DATE '2024-10-01', 'block'),
  ('example.org', DATE '2024-05-15', 'block'), ('m.ththth.example.net', DATE '2024-02-01', 'allow'), ('blog.tiontion.example.com', DATE '2024-01-10', 'block'),
  ('therin.example.net', DATE '2024-06-01', 'block'), ('com', DATE '2024-12-01', 'block')),
-c AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+c AS (SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@]+)', 1)), '.'), '') AS host,
       DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetch_day FROM pages),
 active AS (SELECT c.page_id, e.*, row_number() OVER (PARTITION BY c.page_id, e.domain ORDER BY e.day DESC) AS r
            FROM c JOIN e ON e.day <= c.fetch_day AND (c.host = e.domain OR ends_with(c.host, '.' || e.domain))),
