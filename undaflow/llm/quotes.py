@@ -4,12 +4,18 @@ Lines that begin with ``>`` signs are quotes of that level. Neighbouring lines o
 passage; passages and lines are normalised (case, white space, marks) and hashed, and joined to the
 own passages, lines and paragraphs (between blank lines, with white space made equal, so wrapping does
 not matter) of the conversation's messages, of which there is one row a hash. A quoted passage is split
-at its blank lines as well. A message
-answers the latest original among its first-level quotes, else its latest at any level. The order of
-a conversation is by root message, then turn. Only messages with quotes are exploded.
+at its blank lines as well. A message answers the latest original among its first-level quotes, else its latest
+at any level.
 
-Cases: null texts have no body and quote nothing; repeated rows count once as originals; quotes that
-match nothing leave the message a root; an empty table gives an empty table.
+Messages that answer one another form a conversation: ``root_turn`` names it, ``reply_path`` holds the turns from the
+root down, and ``position`` counts its messages in reply order, each before its answers and those by turn. The
+body has no quotes, and no line that announces one (``On ... wrote:``) right before it. Positions come from ranges of
+paths, so no task holds a conversation; only messages with quotes are exploded.
+
+Cases: null texts have no body and quote nothing; a null key or turn links with nothing; rows of one turn share
+parent, path and position, and repeated rows count once; quotes that match nothing leave the message a root;
+of originals of equal text the earliest counts; an empty table gives an empty table; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,53 +23,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import indexed
 from ..session import materialize
 
 MARK = r"^[ \t]*(?:>[ \t]*)+"
 BLANK = r"\n\s*\n"
+#: How mail programs announce a quote.
+ANNOUNCE = r"(?i)^\s*(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb\b.*|el\b.*\bescribió)\s*:\s*$"
 
 
 def norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "\\s+", " "))
 
 
-def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Per message: ``n_quoted`` lines, ``quote_depth``, ``n_linked`` passages, paragraphs or lines, ``parent_turn``, ``root_turn`` and ``body``
-    (the text without quoted lines). Order a conversation by ``root_turn`` and ``turn``."""
-    m = df.select(df[conv].alias("conv_id"), df[turn].alias("turn"), df[text].cast("string").alias("text"))
+def _level(line: Column) -> Column:
+    return F.length(F.translate(F.regexp_extract(line, MARK, 0), " \t", ""))
+
+
+def passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, h): the hashes of what quoting messages hold; level 0 is their own text."""
+    lines = messages.select("conv_id", "turn", "row", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = lines.select("conv_id", "turn", "row", "p", _level(F.col("line")).alias("level"), F.regexp_replace("line", MARK, "").alias("line"))
+    w = Window.partitionBy("conv_id", "turn", "row").orderBy("p")
+    step = F.coalesce((F.col("level") != F.lag("level").over(w)).cast("int"), F.lit(1))
+    lines = materialize(lines.withColumn("step", step).withColumn("passage", F.sum("step").over(w)), "quotes")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
+    whole = lines.groupBy("conv_id", "turn", "row", "passage", "level").agg(text.alias("t")).select("conv_id", "turn", "level", "t")
+    pieces = whole.union(whole.withColumn("t", F.explode(F.split("t", BLANK)))).union(lines.select("conv_id", "turn", "level", F.col("line").alias("t")))
+    return hashed(pieces)
+
+
+def hashed(d: DataFrame) -> DataFrame:
+    return d.withColumn("h", F.sha2(norm(F.col("t")), 256)).where(norm(F.col("t")) != "").drop("t").distinct()
+
+
+def threads(parents: DataFrame) -> DataFrame:
+    """(conv_id, turn, root_turn, reply_path) of the messages that answer another, by doubling: each round joins a path to
+    that of its first turn, until all begin at a root."""
+    paths = materialize(parents.select("conv_id", "turn", F.array("parent_turn", "turn").alias("path")), "paths")
+    while True:
+        up = paths.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("path").alias("_up"))
+        d = paths.join(up, (F.col("conv_id") == F.col("_c")) & (F.get("path", F.lit(0)) == F.col("_t")), "left")
+        longer = F.concat(F.slice("_up", 1, F.size("_up") - 1), "path")
+        d = materialize(d.select("conv_id", "turn", F.when(F.col("_up").isNull(), F.col("path")).otherwise(longer).alias("path"), F.col("_up").isNotNull().alias("moved")), "paths")
+        paths = d.select("conv_id", "turn", "path")
+        if not d.where("moved").limit(1).count():
+            return paths.select("conv_id", "turn", F.get("path", F.lit(0)).alias("root_turn"), F.col("path").alias("reply_path"))
+
+
+def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str | None = None) -> DataFrame:
+    """Per message: ``n_quoted`` lines, ``quote_depth``, ``n_linked`` passages, paragraphs or lines, ``parent_turn``, ``root_turn``,
+    ``reply_path``, ``position``, ``role`` and ``body``."""
+    m = df.select(df[conv].alias("conv_id"), df[turn].cast("long").alias("turn"), (df[role] if role else F.lit(None)).cast("string").alias("role"), df[text].cast("string").alias("text"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     is_quote = lambda x: x.rlike(MARK)
-    depth = F.aggregate(lines, F.lit(0), lambda a, x: F.greatest(a, F.length(F.translate(F.regexp_extract(x, MARK, 0), " \t", ""))))
-    m = m.select("conv_id", "turn", "text", F.size(F.filter(lines, is_quote)).alias("n_quoted"), depth.alias("quote_depth"),
-                 F.trim(F.array_join(F.filter(lines, lambda x: ~is_quote(x)), "\n")).alias("body"))
-    quoting = m.where("n_quoted > 0").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    level = F.length(F.translate(F.regexp_extract("line", MARK, 0), " \t", ""))
-    quoting = quoting.select("conv_id", "turn", "p", level.alias("level"), F.regexp_replace("line", MARK, "").alias("line"))
-    w = Window.partitionBy("conv_id", "turn").orderBy("p")
-    step = F.coalesce((F.col("level") != F.lag("level").over(w)).cast("int"), F.lit(1))
-    quoting = materialize(quoting.withColumn("step", step).withColumn("passage", F.sum("step").over(w)), "quotes")
-    whole = quoting.groupBy("conv_id", "turn", "passage", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("t"))
-    paragraphs = lambda d: d.withColumn("t", F.explode(F.split("t", BLANK)))
-    whole = whole.select("conv_id", "turn", "level", "t")
-    pieces = whole.union(paragraphs(whole)).union(quoting.select("conv_id", "turn", "level", F.col("line").alias("t")))
-    hashed = lambda d: d.withColumn("h", F.sha2(norm(F.col("t")), 256)).where(norm(F.col("t")) != "")
-    quotes = hashed(pieces.where("level > 0")).select("conv_id", "turn", "level", "h").distinct()
-    body = m.select("conv_id", "turn", F.col("body").alias("t"))
-    own = body.union(paragraphs(body)).union(m.select("conv_id", "turn", F.explode(F.split("body", "\n")).alias("t"))).union(pieces.where("level = 0").select("conv_id", "turn", "t"))
+    depth = F.aggregate(lines, F.lit(0), lambda a, x: F.greatest(a, _level(x)))
+    own = F.filter(lines, lambda x, i: ~is_quote(x) & ~(x.rlike(ANNOUNCE) & F.coalesce(is_quote(F.get(lines, i + 1)), F.lit(False))))
+    # texts without a mark need no look at their lines
+    body = F.when(F.coalesce(F.col("text").contains(">"), F.lit(False)), F.array_join(own, "\n")).otherwise(F.coalesce("text", F.lit("")))
+    m = m.select("conv_id", "turn", "role", "text", F.size(F.filter(lines, is_quote)).alias("n_quoted"), depth.alias("quote_depth"), F.trim(body).alias("body"))
+    quoting = m.where("n_quoted > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.sha2("text", 256).alias("row"), "text").distinct()
+    pieces = materialize(passages(quoting), "passages")
+    quotes = pieces.where("level > 0")
     asked = quotes.select("conv_id").distinct()
-    own = hashed(own.join(asked, "conv_id", "left_semi")).groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
-    hits = quotes.join(own, ["conv_id", "h"]).where("origin < turn")
+    texts = m.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.col("body").alias("t"))
+    split = lambda at: texts.withColumn("t", F.explode(F.split("t", at)))
+    originals = hashed(texts.union(split(BLANK)).union(split("\n"))).union(pieces.where("level = 0").select("conv_id", "turn", "h"))
+    originals = originals.groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
+    hits = quotes.join(originals, ["conv_id", "h"]).where("origin < turn")
     parent = hits.groupBy("conv_id", "turn").agg(F.count_distinct("h").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("direct"), F.max("origin").alias("any"))
     parent = materialize(parent.select("conv_id", "turn", "n_linked", F.coalesce("direct", "any").alias("parent_turn")), "parents")
-    roots = parent.select("conv_id", "turn", F.col("parent_turn").alias("root_turn"))
-    while roots.limit(1).count():
-        up = roots.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("up"))
-        new = materialize(roots.join(up, ["conv_id", "root_turn"], "left").select("conv_id", "turn", F.coalesce("up", "root_turn").alias("root_turn"), F.col("up").isNotNull().alias("moved")), "roots")
-        roots = new.select("conv_id", "turn", "root_turn")
-        if not new.where("moved").limit(1).count():
-            break
+    found = threads(parent)
+    found = indexed(found, ["conv_id", "root_turn"], ["reply_path"], "position").withColumn("position", F.col("position") + 1)
+    found = found.join(parent, ["conv_id", "turn"])
+    out = m.where("n_quoted > 0").join(found, ["conv_id", "turn"], "left")
     # messages without quotes need no join
-    out = m.where("n_quoted > 0").join(parent, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
-    tail = lambda d, linked, p, r: d.select("conv_id", "turn", "n_quoted", "quote_depth", linked.cast("long").alias("n_linked"), p.alias("parent_turn"), r.alias("root_turn"), "body")
-    done = tail(out, F.coalesce("n_linked", F.lit(0)), F.col("parent_turn"), F.coalesce("root_turn", "turn"))
-    return done.union(tail(m.where("n_quoted = 0"), F.lit(0), F.lit(None).cast(m.schema["turn"].dataType), F.col("turn")))
+    kind = {"parent_turn": F.lit(None).cast("long"), "root_turn": F.col("turn"), "reply_path": F.array("turn"), "position": F.lit(0).cast("long"), "n_linked": F.lit(0).cast("long")}
+    alone = m.where("n_quoted = 0").select("*", *[c.alias(n) for n, c in kind.items()])
+    linked = out.select(*m.columns, *[F.coalesce(F.col(n), c).alias(n) for n, c in kind.items()])
+    return alone.union(linked).select("conv_id", "turn", "role", "n_quoted", "quote_depth", "n_linked", "parent_turn", "root_turn", "reply_path", "position", "body")
