@@ -6,7 +6,8 @@ inverse Poisson distribution at a uniform hash of its key; a rate above 8 is spl
 whose draws are added, which is again Poisson. No row is joined, so a hot source costs nothing.
 
 Cases: a null source belongs to the other sources; a null key hashes as the empty string; rows of one
-key get the same count; nothing is drawn from an empty table or a group of weight 0.
+key get the same count; nothing is drawn from an empty table or a group of weight 0; the input's columns come
+out inside one struct, so none of their names clashes.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def group(source: Column, targets: dict[str, float]) -> Column:
 
 
 def mix(df: DataFrame, targets: dict[str, float], other: float = 1.0, size: float = 1.0, seed: int = 17, source: str = "source", key: str = "doc_id", shuffle: bool = True) -> DataFrame:
-    """The rows of ``df``, each as often as drawn, with ``_copy`` (from 1), ``_copies``, ``_rate`` and ``_place``,
-    a uniform place in the global order that ``shuffle`` sorts the output by."""
+    """doc (a struct of the columns of ``df``), copies, copy (from 1), rate and place: whole rows as often as drawn, where
+    ``place`` is uniform in the global order that ``shuffle`` sorts the output by."""
     rate = rates(df, source, targets, other, size)
     g = group(df[source], targets)
     copies, mean = F.lit(0), F.lit(0.0)
@@ -64,7 +65,7 @@ def mix(df: DataFrame, targets: dict[str, float], other: float = 1.0, size: floa
         draws = [_invert(cdf, uniform(str(seed), str(k), df[key])) for k in range(parts)]
         copies = F.when(g == name, sum(draws[1:], draws[0])).otherwise(copies)
         mean = F.when(g == name, F.lit(r)).otherwise(mean)
-    out = df.withColumns({"_copies": copies, "_rate": mean}).where("_copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    out = out.withColumn("_place", uniform(f"{seed}place", F.col(key), F.col("_copy")))
-    return out.orderBy("_place", key, "_copy") if shuffle else out
+    out = df.select(F.struct(*[df[c] for c in df.columns]).alias("doc"), copies.alias("copies"), mean.alias("rate")).where("copies > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = out.withColumn("place", uniform(f"{seed}place", F.col("doc")[key], F.col("copy")))
+    return out.orderBy("place", F.col("doc")[key], "copy") if shuffle else out
