@@ -2,9 +2,10 @@
 
 Vectors are scaled to length 1 and projected on ``dims`` Gaussian directions. Rows are dealt into
 blocks by a hash of their key; a block's projections form a kd-tree. A query meets the leaves of a
-tree in order of projected distance and verifies their vectors. For a point at distance d its squared
-projected distance over d squared is chi-square distributed, so it stops once the next leaf is so far
-that a point nearer than its k-th best would lie there with probability below ``1 - sure``. Scores of a
+tree in order of projected distance and verifies those of their vectors that pass the stopping test: for a
+point at distance d its squared projected distance over d squared is chi-square distributed, so a point is left
+out, and the search stops at a leaf, once it is so far that one nearer than the k-th best would lie there with
+probability below ``1 - sure``. ``verified`` counts the vectors whose distance was computed. Scores of a
 matrix product differ by rounding even for equal vectors, so all rows within a rounding tolerance of
 the k-th are kept, scored one by one with the exact measure and only then cut to k by (score, key).
 The best k of all blocks are merged. Queries go to every block in parts of ``per_part``, so a task
@@ -13,7 +14,8 @@ keys: of equal vectors no others can be among the k nearest of any row.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors are
 compared within their dimension only; equal vectors tie to the smaller key; fewer candidates than
-k give what there is; an empty table gives an empty table.
+k give what there is; repeated rows of one key count once; a null key takes no part; an empty table gives an
+empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def chi2_tail(x: float, dims: int) -> float:
     """P(chi-square with an even number of degrees > x)."""
@@ -83,14 +87,14 @@ def smallest(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(ids, vectors, q_ids, q_vectors, k: int, dims: int, sure: float, seed: int, leaf: int):
-    """For every query the rows of a block that may be among its best ``k``: those within rounding of the k-th score."""
+    """For every query the rows of a block that may be among its best ``k`` (those within rounding of the k-th score), and how many were verified."""
     rows_of = smallest(ids, vectors, k + 1)
     ids, vectors = ids[rows_of], vectors[rows_of]
     norm = np.linalg.norm(vectors, axis=1)
     unit = vectors / norm[:, None]
     plane = np.random.default_rng(seed).standard_normal((vectors.shape[1], dims))
     tree = Tree(unit @ plane, leaf)
-    unit, ids, rows_of = unit[tree.order], ids[tree.order], rows_of[tree.order]
+    points, unit, ids, rows_of = (unit @ plane)[tree.order], unit[tree.order], ids[tree.order], rows_of[tree.order]
     q_unit = q_vectors / np.linalg.norm(q_vectors, axis=1)[:, None]
     q_plane, need = q_unit @ plane, chi2_quantile(sure, dims)
     # above the difference that rounding can make between two scores of one pair
@@ -99,25 +103,27 @@ def search_block(ids, vectors, q_ids, q_vectors, k: int, dims: int, sure: float,
     for i in range(len(q_ids)):
         far = tree.far(q_plane[i])
         nearest, score, found = np.argsort(far, kind="stable"), np.empty(0), np.empty(0, np.int64)
-        at, step = 0, 2
+        at, step, seen = 0, 2, 0
         while at < len(nearest):
-            if len(score) >= k and far[nearest[at]] > need * (max(0.0, 2 - 2 * score[k - 1]) + 2 * close):
+            most = need * (max(0.0, 2 - 2 * score[k - 1]) + 2 * close) if len(score) >= k else np.inf
+            if far[nearest[at]] > most:
                 break
             rows = np.concatenate([np.arange(*tree.runs[j]) for j in nearest[at : at + step]])
-            rows = rows[ids[rows] != q_ids[i]]
+            rows = rows[(ids[rows] != q_ids[i]) & (((points[rows] - q_plane[i]) ** 2).sum(axis=1) <= most)]
+            seen += len(rows)
             s, c = np.concatenate([score, unit[rows] @ q_unit[i]]), np.concatenate([found, rows])
             best = np.lexsort((ids[c], -s))
             if len(best) > k:
                 best = best[s[best] >= s[best[k - 1]] - close]
             score, found = s[best], c[best]
             at, step = at + step, min(2 * step, 64)
-        out.append(rows_of[found])
+        out.append((rows_of[found], seen))
     return out
 
 
-def search(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", dims: int = 8, sure: float = 0.97,
+def search(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", dims: int = 24, sure: float = 0.97,
            seed: int = 29, leaf: int = 32, per_block: int = 8_000, per_part: int = 1_000) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that ``is_query`` (a Column) holds for."""
+    """(query_id, rank, vec_id, score, verified): the ``k`` nearest found of every row that ``is_query`` (a Column) holds for."""
     v = df[vector].cast("array<double>")
     good = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.where(good & df[key].isNotNull()).select(df[key].cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
@@ -136,20 +142,24 @@ def search(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
         return np.asarray(flat, dtype=np.float64).reshape(t.num_rows, -1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, c, s = [], [], []
+        q, c, s, n = [], [], [], []
         if left.num_rows and right.num_rows:
             left, right = left.sort_by("id"), right.sort_by("id")
             x, y = matrix(left), matrix(right)
             ids, q_ids = np.asarray(left.column("id")), np.asarray(right.column("id"))
-            for i, rows_ in enumerate(search_block(ids, x, q_ids, y, k, dims, sure, seed, leaf)):
+            for i, (rows_, seen) in enumerate(search_block(ids, x, q_ids, y, k, dims, sure, seed, leaf)):
                 exact = [(-float(np.dot(x[r], y[i]) / (math.sqrt(np.dot(x[r], x[r])) * math.sqrt(np.dot(y[i], y[i])))), int(ids[r])) for r in rows_]
-                for score, r in sorted(exact)[:k]:
+                # the last row carries the number of verified vectors
+                for score, r, m in [*((score, r, 0) for score, r in sorted(exact)[:k]), (None, None, seen)]:
                     q.append(int(q_ids[i]))
                     c.append(r)
-                    s.append(-score)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
+                    s.append(None if score is None else -score)
+                    n.append(m)
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64()), "verified": pa.array(n, pa.int64())})
 
     on = ["dim", "block", "part"]
-    found = data.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(run, "query_id long, vec_id long, score double").distinct()
+    found = materialize(data.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(run, "query_id long, vec_id long, score double, verified long"), "found")
+    verified = found.where("vec_id is null").groupBy("query_id").agg(F.sum("verified").alias("verified"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.where("vec_id is not null").select("query_id", "vec_id", "score").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(verified, "query_id").select("query_id", "rank", "vec_id", "score", "verified")
