@@ -42,18 +42,19 @@ def op4_near_duplicates(spark, sf_dir):
 def op5_url_lists(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetch_day", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(366)).cast("int")))
-    entries = spark.createDataFrame(list(ENTRIES), "domain string, day string, action string").withColumn("day", F.col("day").cast("date"))
-    return urls.judge(captures, entries).select("page_id", "host", F.col("fetch_day").cast("string"), "matched", F.col("listed_since").cast("string"), "blocked")
+    entries = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', DATE '{b}', '{c}')" for a, b, c in ENTRIES) + " AS e(domain, day, action)")
+    found = urls.judge(captures, entries)
+    return found.select("capture.page_id", "host", F.col("capture.fetch_day").cast("string").alias("fetch_day"), "matched", F.col("listed_since").cast("string").alias("listed_since"), "blocked")
 
 
 def op6_quotation_links(spark, sf_dir):
-    out = quotes.link(table(spark, sf_dir, "conversations"))
+    out = quotes.link(table(spark, sf_dir, "conversations"), role="role")
     return out.withColumn("body_sha256", F.sha2("body", 256)).drop("body")
 
 
 def op7_poisson_mix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, TARGETS, OTHER).select("doc_id", "source", F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_place").alias("place"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), TARGETS, OTHER)
+    return mixed.select("doc.doc_id", "doc.source", "doc.text", F.col("copies").cast("long").alias("n_copies"), "copy", "place")
 
 
 def op8_hash_tree(spark, sf_dir):
