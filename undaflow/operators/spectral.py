@@ -76,13 +76,13 @@ def istft(frames: DataFrame, source: Names, n_fft: int, hop: int, coordinate: st
         s = a * np.exp(1j * b) if coordinate == "pol" else a + 1j * b
         return (np.fft.irfft(s, n_fft, axis=1) * w,)
 
-    f = apply(frames.select(*source, "frame", *COORDINATES[coordinate]), COORDINATES[coordinate], run, ["v"])
+    f = apply(frames.select(*source, "frame", *COORDINATES[coordinate]), COORDINATES[coordinate], run, ["_v"])
     squares = F.array(*[F.lit(float(q)) for q in w * w])
     pad = n_fft // 2 if center else 0
-    d = f.select(*source, "frame", F.posexplode(F.arrays_zip("v", squares.alias("q"))).alias("i", "s"))
-    d = d.select(*source, (F.col("frame") * hop + F.col("i") - pad).alias("t"), F.col("s.v").alias("v"), F.col("s.q").alias("q"))
-    y = d.groupBy(*source, "t").agg(F.sum("v").alias("v"), F.sum("q").alias("q"))
-    y = y.select(*source, "t", (F.col("v") / F.when(F.col("q") > np.finfo(np.float32).tiny, F.col("q")).otherwise(1.0)).alias(out))
+    d = f.select(*source, "frame", F.posexplode(F.arrays_zip("_v", squares.alias("_q"))).alias("_i", "_s"))
+    d = d.select(*source, (F.col("frame") * hop + F.col("_i") - pad).alias("t"), F.col("_s._v").alias("_v"), F.col("_s._q").alias("_q"))
+    y = d.groupBy(*source, "t").agg(F.sum("_v").alias("_v"), F.sum("_q").alias("_q"))
+    y = y.select(*source, "t", (F.col("_v") / F.when(F.col("_q") > np.finfo(np.float32).tiny, F.col("_q")).otherwise(1.0)).alias(out))
     if center:
         last = frames.groupBy(*source).agg(((F.max("frame")) * hop).alias("_n"))
         y = join_by(y, last, source).where((F.col("t") >= 0) & (F.col("t") < F.col("_n"))).drop("_n")

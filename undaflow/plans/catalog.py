@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of ``undaflow.plans`` that hold QUERIES and ORACLE.
-MODULES = ("signal_queries", "window_queries", "spectral_queries", "score_queries", "graph_queries")
+MODULES = ("signal_queries", "window_queries", "spectral_queries", "score_queries", "graph_queries", "stream_queries")
 
 
 def _gather(attr: str) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,23 +27,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only where ``spark.checkpoint.dir`` is unset (tests on one
-    machine) a temporary folder is made and remembered in the session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("undaflow.checkpoint.dir", None)
+    """The cluster's checkpoint folder. Only a session on one machine may do without: it gets a temporary folder, which
+    the session remembers; anywhere else executors would write what others can't read, so that is refused."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("undaflow.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="undaflow-")
         spark.conf.set("undaflow.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/undaflow-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The files are on storage that all executors and the driver see, so a lost executor costs
-    only the tasks that ran on it."""
+    only the tasks that ran on it. ``clear`` removes them all."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/undaflow-{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; results that still read them must have been written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

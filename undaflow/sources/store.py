@@ -41,6 +41,7 @@ def from_json(text: str):
             known = {k: built(v) for k, v in x.items() if k != "type"}
             if "type" not in x:
                 return known
+            known = {k: tuple(v) if isinstance(v, list) else v for k, v in known.items()}
             if x["type"] not in REGISTRY:
                 raise KeyError(f"{x['type']!r} is not registered")
             return REGISTRY[x["type"]](**known)
@@ -132,6 +133,50 @@ def can_add(chain: list[str], name: str) -> bool:
     return True
 
 
+def labelled(df: DataFrame, e: Extractor, source: str = "source_id", label: str = "label") -> DataFrame:
+    """A label feature as its extractor asks: labels distinct between sources, dense, and with their number as metadata."""
+    from ..operators.sequence import dense_codes
+    from ..operators.windows import label_offsets
+
+    if e.merge_files_labels:
+        df = label_offsets(df, source, label, "_all").withColumn(label, F.col("_all")).drop("_all")
+    if e.consolidate_labels:
+        df = dense_codes(df, label, "_code").withColumn(label, F.col("_code")).drop("_code")
+    if e.merge_files_labels or e.consolidate_labels:
+        df = described(df, label, elem="discrete", class_size=int((df.agg(F.max(label)).first()[0] or 0) + 1))
+    return df
+
+
+class Selection:
+    """A set of labels, and the rows that it keeps or leaves out."""
+
+    def __init__(self, labels: tuple = ()):
+        self.labels = set(labels)
+
+    def add(self, *labels) -> Selection:
+        self.labels |= set(labels)
+        return self
+
+    def remove(self, *labels) -> Selection:
+        self.labels -= set(labels)
+        return self
+
+    def reset(self) -> Selection:
+        self.labels.clear()
+        return self
+
+    def select(self, df: DataFrame, label: str) -> DataFrame:
+        return df.where(F.col(label).isin(*self.labels)) if self.labels else df.limit(0)
+
+    def unselect(self, df: DataFrame, label: str) -> DataFrame:
+        return df.where(~F.coalesce(F.col(label).isin(*self.labels), F.lit(False))) if self.labels else df
+
+
+def add_chunk(df: DataFrame, path: str, chunk: int) -> None:
+    """Writes a chunk of a generation beside those before it; a chunk that is there already is replaced."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/chunk={chunk}")
+
+
 class FeatureStore:
     """Features in a folder. ``create`` writes the sources, ``compute`` a feature derived from another."""
 
@@ -150,8 +195,8 @@ class FeatureStore:
     def create(self, sources: DataFrame, extractors: list[Extractor]) -> FeatureStore:
         """One table an extractor, in the order given, so that one may derive from another."""
         for e in extractors:
-            df = self.read(e.derived_from) if e.derived_from else sources
-            self._write(e.name, compose(*e.steps)(df), e)
+            df = compose(*e.steps)(self.read(e.derived_from) if e.derived_from else sources)
+            self._write(e.name, labelled(df, e), e)
         return self
 
     def compute(self, name: str, of: str, *steps: str | Callable) -> DataFrame:
