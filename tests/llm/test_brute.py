@@ -69,7 +69,9 @@ def test_near_duplicates_in_large_nodes(spark):
 
 
 def test_base_counts(docs):
-    for r in quality.base_counts(docs).join(docs, "doc_id").collect():
+    words = ["ok", "the", "und"]
+    forms = {v + m: w for w in words for v in (w, w.capitalize(), w.upper()) for m in ["", *quality.MARKS]}
+    for r in quality.base_counts(docs, words).join(docs, "doc_id").collect():
         t = r["text"] or ""
         w = WORD.findall(t)
         seen, dup = set(), 0
@@ -81,7 +83,7 @@ def test_base_counts(docs):
         n = {x: win.count(x) for x in win}
         hit = {i + k for i, x in enumerate(win) if n[x] > 1 for k in range(3)}
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit)), r.doc_id
-        assert r.common == [w.count(c) for c in quality.COMMON]
+        assert r.common == [sum(forms.get(x) == c for x in w) for c in words]
 
 
 def test_quality_keeps_plain_text_and_handles_empty(spark, docs):
@@ -90,6 +92,47 @@ def test_quality_keeps_plain_text_and_handles_empty(spark, docs):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_divergence_and_verdict(spark, docs):
+    """Distances to the nearest language from all base-passing texts, and what they decide."""
+    more = spark.createDataFrame([(900, "The tree, the house. " + "qzx wvk jjp " * 30 + "tail end of it all now", "en", "s9", 1), (901, "zq " + " ".join(f"xqz{k}vv" for k in range(120)), None, "s9", 1), (902, " ".join(f"q{k}" for k in range(90)), "xx", "s9", 1)], docs.schema)
+    d = docs.union(more).withColumn("chars", F.lit(1))
+    got = {r.doc_id: r for r in quality.quality(d, languages=2, max_chars=0.2, max_common=0.5).collect()}
+    words = quality.common_words(d, "doc_id", "text", "lang", languages=2)
+    forms = {v + m: w for w in words for v in (w, w.capitalize(), w.upper()) for m in ["", *quality.MARKS]}
+    classes = [quality.SYMBOLS, *quality.CLASSES]
+    rows = {r.doc_id: r for r in d.collect()}
+
+    def chars(t):
+        t = "".join(c for c in t or "" if c not in quality.SPACE)
+        n = [sum(c in k for c in t) for k in classes]
+        return [*n, len(t) - sum(n)]
+
+    def common(t):
+        w = [forms.get(x) for x in WORD.findall(t or "")]
+        return [w.count(c) for c in words]
+
+    def distance(p, q):
+        p, q = np.array(p) / max(1, sum(p)), (np.array(q) + 0.5) / (sum(q) + 0.5 * len(q))
+        m = (p + q) / 2
+        kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+        return np.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    passing = [r for k, r in rows.items() if not got[k].base_failed and r.lang]
+    count = {}
+    for r in passing:
+        count[r.lang] = count.get(r.lang, 0) + 1
+    langs = sorted(count, key=lambda x: (-count[x], x))[:2]
+    refs = [[np.sum([f(r.text) for r in passing if r.lang == x], axis=0) for f in (chars, common)] for x in langs]
+    for k, r in rows.items():
+        c, w = chars(r.text), common(r.text)
+        a = min(distance(c, x[0]) for x in refs) if sum(c) else 1.0
+        b = min([distance(w, x[1]) for x in refs if sum(x[1])], default=0.0) if sum(w) else 1.0
+        assert got[k].char_divergence == pytest.approx(a, abs=1e-6) and got[k].word_divergence == pytest.approx(b, abs=1e-6), k
+        far = (r.lang is None or r.lang in langs) and (got[k].word_chars >= 200 and a > 0.2 or got[k].n_words >= 80 and b > 0.5)
+        assert got[k].kept == (not got[k].base_failed and not far), k
+    assert not got[901].kept and any(r.kept for r in got.values())
+
+
 def test_shards(spark, docs):
     import zlib
 
@@ -294,6 +337,78 @@ def test_urls(spark):
     assert urls.judge(c.limit(0), e).count() == 0 and urls.judge(c, e.limit(0)).where("blocked").count() == 0
 
 
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against a plain rule, with rows that it must reject and rows of null and repeated keys."""
+    import corpus_pipeline as P
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*P.COLUMNS).where("length(text) between 600 and 4000").limit(60)
+    rows = [tuple(r) for r in base.collect()]
+    good = rows[0]
+    noise = "".join(random.Random(3).choice("zqxjkvw") for _ in range(900))
+    noise = " ".join(noise[k : k + 9] for k in range(0, 900, 9))
+    extra = [(9001, None, "en", "s", 0), (9002, "12 34 !!", "en", "s", 8), (9003, noise, None, "s", 900), (None, good[1] + " and more", "en", "s", 1), (9005, good[1], "en", "s", 1), (good[0], good[1], "en", "zz", 1), (9006, good[1], None, None, 1)]
+    d = spark.createDataFrame(rows + extra, base.schema).withColumns({"_row": F.lit(1), "copies": F.lit(2)})
+    stage = dict(P.STAGES)
+    one = stage["language"](spark, d, "").cache()
+    ids = [r.doc_id for r in one.collect()]
+    assert one.columns == list(P.COLUMNS) and not {9001, 9002, 9003} & set(ids) and None in ids and len(ids) == len(rows) + 4
+    two = stage["quality"](spark, one, "").cache()
+    verdict = {(r.doc_id, r.text_hash): r.kept for r in quality.quality(one).collect()}
+    want = [r for r in one.withColumn("h", neardup.text_hash(F.col("text"))).collect() if verdict[r.doc_id, r.h]]
+    assert sorted(map(str, [tuple(r)[:5] for r in want])) == sorted(map(str, map(tuple, two.collect()))) and len(want) > 40
+    three = stage["near_duplicates"](spark, two, "").collect()
+    left, root = [(r, sets(r.text)) for r in two.collect()], {}
+    find = lambda x: x if root[x] == x else find(root[x])
+    root.update({k: k for k in range(len(left))})
+    for i in range(len(left)):
+        for j in range(i):
+            if 100 * len(left[i][1] & left[j][1]) >= 75 * len(left[i][1] | left[j][1]):
+                root[find(i)] = find(j)
+    groups = {}
+    for k, (r, _) in enumerate(left):
+        groups.setdefault(find(k), []).append(r)
+    assert len(three) == len(groups)
+    kept = {(r.doc_id, r.text, r.source) for r in three}
+    for g in groups.values():
+        keys = [r.doc_id for r in g if r.doc_id is not None]
+        mine = [r for r in g if (r.doc_id, r.text, r.source) in kept]
+        assert len(mine) == 1 and mine[0].doc_id == (min(keys) if keys else None)
+    four = stage["mixture"](spark, spark.createDataFrame(three, base.schema), "").collect()
+    assert {r.doc_id for r in four} <= {r.doc_id for r in three} and four[0].__fields__ == list(P.COLUMNS)
+    five = stage["tokens"](spark, spark.createDataFrame(four, base.schema), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in five) == sorted((r.doc_id is None, r.doc_id) for r in four)
+    for name, f in P.STAGES:
+        assert f(spark, base.limit(0), "").count() == 0, name
+
+
+CLASH = ("id", "n", "t", "k", "c", "h", "s", "row", "fp", "sig", "label", "component", "block", "shard", "score", "rank", "text_hash", "w", "doc", "copies", "body", "_text", "e", "turn_")
+
+
+def test_every_operator_on_nulls_repeats_and_clashing_columns(spark):
+    """Null and repeated keys, null, empty and very long texts, beside columns of any name: each row gets its result."""
+    long = " ".join(f"word{k % 3000}x" for k in range(60000))
+    rows = [(None, None, None, None), (None, "the house", "en", "a"), (1, "", "de", None), (1, long, "en", "a"), (1, long, "en", "a"), (2, long + " end", None, "b"), (3, "\n \t", "en", "b"), (4, "x" * 300000, "en", "b"), (4, "other text under one key", "en", "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(7) for c in CLASH})
+    path = __import__("public_tokenizers").path
+    codec = {r.doc_id: r for r in tokenize.encode(d, path("byte_bpe_multi_50k.tiktoken"), ids=False).collect()}
+    counted = tokenize.count_tokens(d, path("byte_bpe_50k.json")).collect()
+    assert len(counted) == 9 and {r.n_bytes for r in counted if r.doc_id == 2} == {len(long) + 4} and codec[3].n_tokens > 0
+    q = quality.quality(d).collect()
+    assert len(q) == 9 and {r.n_words for r in q if r.doc_id == 2} == {60001}
+    near = neardup.near_duplicates(d).collect()
+    by = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near)
+    n = {k: len(sets(k)) for k in (long, long + " end")}
+    assert len(near) == 9 and by == sorted([("None", 0, "None", True), ("None", 1, "None", True), ("1", 0, "1", True), ("1", n[long], "1", True), ("1", n[long], "1", True), ("2", n[long + " end"], "1", False), ("3", 0, "3", True), ("4", 1, "4", True), ("4", 1, "4", True)])
+    assert len(sharding.shard(d).collect()) == 9
+    assert mixing.mix(d, {"a": 1.0}).select("doc.*").columns == d.columns
+    m = langid.learn(d, F.lit(True))
+    got = langid.label(d, m).collect()
+    assert len(got) == 9 and sum(r.lang_pred == "und" for r in got) == 3
+    v = spark.createDataFrame([(None, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, None]), (4, [1.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit(7) for c in CLASH})
+    found = {r.vec_id: r.rank for r in ann.search(v, F.col("vec_id") == 0).collect()}
+    assert found == {1: 1, 2: 2}
+
+
 def test_ann_recall_on_the_whole_table(spark):
     from undaflow.llm import catalog
 
