@@ -1,12 +1,11 @@
 """Byte-pair merges as a lazily determinised finite-state transducer.
 
-A token sequence is the merge result of its bytes exactly if every neighbouring pair is stable:
-merging the bytes of the two tokens gives back these two tokens. So the merges are a transducer
-whose states are last tokens and whose transitions read one token's bytes; it is
-non-deterministic only in where a token ends. Determinisation follows all hypotheses over the
-bytes ahead and emits what they share, so output waits for a bounded lookahead only. Transitions
-of the deterministic machine are made when a text first needs them, and dropped when there are
-too many, which bounds memory.
+A token sequence is the merge result of its bytes exactly if every neighbouring pair is stable: no merge across
+their boundary comes before the merges that made the two. So the merges are a transducer whose states are last
+tokens and whose transitions read one token's bytes; it is non-deterministic only in where a token ends.
+Determinisation follows all hypotheses over the bytes ahead and emits what they share, so output waits for a
+bounded lookahead only. Transitions of the deterministic machine are made when a text first needs them, kept up to
+a length, and dropped when there are too many, which bounds memory.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ from functools import lru_cache
 
 import regex
 
-ROOT = 0
-
 
 class Merges:
     """A vocabulary with its merges. ``pair(a, b)`` gives (rank, token) of a merge, or None."""
@@ -61,15 +58,16 @@ class Merges:
             table[vocab[a], vocab[b]] = (r, vocab[a + b])
         return Merges(tokens, lambda a, b: table.get((a, b)))
 
-    def merge(self, data: bytes) -> list[int]:
-        """The merges by definition: lowest rank first, leftmost first. For short strings."""
-        ids, pair = [self.byte_id[b] for b in data], self.pair
+    def merge(self, data: bytes) -> tuple[list[int], tuple[int, int, int] | None]:
+        """The merges by definition, lowest rank first, leftmost first, and the last one made: (rank, left, right). For short strings."""
+        ids, pair, last = [self.byte_id[b] for b in data], self.pair, None
         while len(ids) > 1:
             best = min((p[0], k, p[1]) if (p := pair(ids[k], ids[k + 1])) else (sys.maxsize, k, 0) for k in range(len(ids) - 1))
             if best[0] == sys.maxsize:
                 break
+            last = (best[0], ids[best[1]], ids[best[1] + 1])
             ids[best[1] : best[1] + 2] = [best[2]]
-        return ids
+        return ids, last
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -89,75 +87,104 @@ class Transducer:
 
     def __init__(self, merges: Merges, window: int = 12, most: int = 250_000):
         self.merges, self.window, self.most = merges, window, most
-        self._child: dict[int, int] = {}
-        self._token: list[int] = [-1]
-        for i, t in enumerate(merges.tokens):
-            if t is None:
-                continue
-            node = ROOT
-            for b in t:
-                k = node << 8 | b
-                nxt = self._child.get(k)
-                if nxt is None:
-                    nxt = self._child[k] = len(self._token)
-                    self._token.append(-1)
-                node = nxt
-            self._token[node] = i
-        self._inner = bytearray(len(self._token))
-        for k in self._child:
-            self._inner[k >> 8] = 1
+        self._ids = {t: i for i, t in enumerate(merges.tokens) if t is not None}
+        self._open = {t[:k] for t in self._ids for k in range(1, len(t))}
+        self._longest = max(map(len, self._ids))
+        self._made: dict[int, tuple | None] = {}
         self._stable: dict[int, bool] = {}
+        self._ends: dict = {}
         self.moves: dict = {}
 
+    def _parts(self, t: int):
+        """The merge (rank, left, right) that makes a token of its bytes: () for a byte, None if merging does not lead to it."""
+        made = self._made.get(t, 0)
+        if made == 0:
+            ids, last = self.merges.merge(self.merges.tokens[t])
+            made = self._made[t] = None if ids != [t] else last or ()
+        return made
+
     def _fits(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a."""
+        """Whether token b may follow token a. Their merges are undone from the last one on (of equal ranks the right one
+        is later); at each moment the tokens at the boundary must not merge before the one that was undone."""
         k = (a + 1) << 24 | b
         ok = self._stable.get(k)
-        if ok is None:
-            if len(self._stable) > 4 * self.most:
-                self._stable.clear()
-            t = self.merges.tokens
-            ok = self._stable[k] = self.merges.merge(t[b]) == [b] if a < 0 else self._fits(-1, b) and self.merges.merge(t[a] + t[b]) == [a, b]
+        if ok is not None:
+            return ok
+        if len(self._stable) > 4 * self.most:
+            self._stable.clear()
+        y = self._parts(b)
+        ok = y is not None
+        if ok and a >= 0:
+            x, pair, before = self._parts(a), self.merges.pair, sys.maxsize
+            left, right = a, b
+            while True:
+                met = pair(left, right)
+                if met and met[0] < before:
+                    ok = False
+                    break
+                if not x and not y:
+                    break
+                if x and (not y or x[0] > y[0]):
+                    before, left = x[0], x[2]
+                    x = self._parts(left)
+                else:
+                    # the left one of two equal merges comes first, and the boundary is left of this one
+                    before, right = y[0] + 1, y[1]
+                    y = self._parts(right)
+        self._stable[k] = ok
         return ok
 
+    def _end(self, a: int, data: bytes, keep: bool = True):
+        """The token that ends ``data`` after state a, and where it begins: just one can, as a string has one tokenization; None
+        if no path from a ends here. What it says of beginnings is kept, since many strings share them."""
+        key = data if a < 0 else (a, data)
+        found = self._ends.get(key, 0)
+        if found != 0:
+            return found
+        ids, stable, n, found = self._ids, self._stable, len(data), None
+        for q in range(n - self._longest if n > self._longest else 0, n):
+            t = ids.get(data[q:])
+            if t is None:
+                continue
+            before = a
+            if q:
+                prior = self._end(a, data[:q])
+                if prior is None:
+                    continue
+                before = prior[0]
+            ok = stable.get((before + 1) << 24 | t)
+            if ok or ok is None and self._fits(before, t):
+                found = (t, q)
+                break
+        if keep:
+            if len(self._ends) >= self.most:
+                self._ends.clear()
+            self._ends[key] = found
+        return found
+
     def determinise(self, a: int, ahead: bytes, ends: bool) -> tuple[tuple, int] | None:
         """Tokens that follow state a whatever comes after ``ahead`` (or if nothing does), and how many
-        bytes they read; None if that is still open. Hypotheses live in one table: at each place
-        where a token may end (just one token can end there, as a string has one tokenization) that
-        token and where it began; open ones are trie nodes with their beginnings."""
-        child, token, inner, stable = self._child, self._token, self._inner, self._stable
-        last, back, open_ = [a], [-1], [(ROOT, 0)]
-        for p, b in enumerate(ahead, 1):
-            live, t_end, q_end = [], -1, -1
-            for node, q in open_:
-                c = child.get(node << 8 | b)
-                if c is None:
-                    continue
-                if inner[c]:
-                    live.append((c, q))
-                t = token[c]
-                if t >= 0:
-                    ok = stable.get((last[q] + 1) << 24 | t)
-                    if ok or ok is None and self._fits(last[q], t):
-                        t_end, q_end = t, q
-            last.append(t_end)
-            back.append(q_end)
-            if q_end >= 0:
-                live.append((ROOT, p))
-            open_ = live
-        # walk back from every live beginning; what their paths share from the left is certain
-        at = {len(ahead)} if ends else {q for _, q in open_}
+        bytes they read; None if that is still open. Hypotheses are the beginnings from which the rest of the
+        window could still grow to a token; what their paths back to the state share from the left is certain."""
+        n, steps = len(ahead), {}
+
+        def back(q):
+            if q not in steps:
+                steps[q] = self._end(a, ahead[:q], q < n)
+            return steps[q]
+
+        at = {n} if ends else {q for q in range(max(0, n - self._longest), n + 1) if (q == n or ahead[q:] in self._open) and (not q or back(q))}
         while len(at) > 1:
             q = max(at)
             at.discard(q)
-            at.add(back[q])
+            at.add(back(q)[1])
         n = at.pop()
         if n <= 0:
             return None
         out, p = [], n
         while p > 0:
-            out.append(last[p])
-            p = back[p]
+            t, p = back(p)
+            out.append(t)
         return tuple(reversed(out)), n
 
     def _move(self, a: int, data: bytes, i: int):
@@ -171,9 +198,11 @@ class Transducer:
             if made is None:
                 got = self.determinise(a, ahead, ends)
                 made = (got[0], got[1], len(got[0]), got[0][-1]) if got else ()
-                if len(moves) >= self.most:
-                    moves.clear()
-                moves[key] = made
+                # whole pre-tokens are kept by who asks for them, and very long windows are not kept
+                if not (a < 0 and ends) and w <= 4 * self.window:
+                    if len(moves) >= self.most:
+                        moves.clear()
+                    moves[key] = made
             if made:
                 return made
             w *= 2
