@@ -42,3 +42,20 @@ def test_stream_waits_for_whole_characters():
     s = Utf8Stream()
     assert [s.feed(bytes([b])) for b in "a€".encode()] == ["a", "", "", "€"]
     assert s.feed(b"\xf0\x9f") == "" and s.close() == "�"
+
+
+def test_stream_equals_the_codec_on_any_bytes():
+    """Also on bytes that are no UTF-8, cut anywhere."""
+    import codecs
+
+    r = random.Random(9)
+    pieces = [b"a", "é".encode(), "漢".encode(), "🙂".encode(), b"\xff", b"\xc0", b"\xe0\x80", b"\xed\xa0", b"\xf4\x90", b"\x80", b"\xf0\x9f"]
+    for _ in range(500):
+        data = b"".join(r.choice(pieces) for _ in range(r.randint(0, 12)))
+        s, c, out, want, at = Utf8Stream(), codecs.getincrementaldecoder("utf-8")("replace"), "", "", 0
+        while at < len(data):
+            n = r.randint(1, 3)
+            out += s.feed(data[at : at + n])
+            want += c.decode(data[at : at + n])
+            at += n
+        assert out + s.close() == want + c.decode(b"", True) == data.decode("utf-8", "replace")

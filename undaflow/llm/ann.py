@@ -122,7 +122,7 @@ def search_block(ids, vectors, q_ids, q_vectors, k: int, dims: int, sure: float,
 
 
 def search(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", dims: int = 24, sure: float = 0.97,
-           seed: int = 29, leaf: int = 32, per_block: int = 8_000, per_part: int = 1_000) -> DataFrame:
+           seed: int = 29, leaf: int = 32, per_block: int = 8_000, per_part: int = 10_000) -> DataFrame:
     """(query_id, rank, vec_id, score, verified): the ``k`` nearest found of every row that ``is_query`` (a Column) holds for."""
     v = df[vector].cast("array<double>")
     good = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)

@@ -28,7 +28,8 @@ def op1_bpe_codec(spark, sf_dir):
 
 
 def op2_divergence(spark, sf_dir):
-    return quality.quality(table(spark, sf_dir, "documents"))
+    found = quality.quality(table(spark, sf_dir, "documents")).drop("text_hash")
+    return found.withColumns({c: F.round(c, 6) for c in ("char_divergence", "word_divergence")})
 
 
 def op3_token_counts(spark, sf_dir):

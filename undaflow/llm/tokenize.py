@@ -44,28 +44,42 @@ def _once(kind, *args):
 
 
 class Utf8Stream:
-    """Incremental UTF-8 decoding: the state is the unfinished sequence at the end of what came so far.
+    """Incremental UTF-8 decoding by a state machine. The states say which bytes may come next: none open (0), one, two or three
+    continuation bytes (1 to 3), and what follows the four leads whose next byte is narrower (4 to 7). An ASCII byte leads
+    to state 0 from all, so only what comes after the last one is stepped through.
 
     ``feed`` returns the text that is certain; ``close`` turns what is unfinished into U+FFFD."""
 
+    #: Lead bytes (first, last) and the state that follows.
+    LEADS = ((0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7))
+    #: Which bytes a state takes, and the state that follows.
+    NEXT = {1: (0x80, 0xBF, 0), 2: (0x80, 0xBF, 1), 3: (0x80, 0xBF, 2), 4: (0xA0, 0xBF, 1), 5: (0x80, 0x9F, 1), 6: (0x90, 0xBF, 2), 7: (0x80, 0x8F, 2)}
+    TAIL = re.compile(rb"[\x80-\xff]*\Z")
+
     def __init__(self):
         self.open = b""
 
-    @staticmethod
-    def unfinished(data: bytes) -> int:
-        """Length of the incomplete sequence at the end: 0 to 3 bytes."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b >= 0xC0:
-                need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4 if b < 0xF8 else 1
-                return back if need > back else 0
-            if b < 0x80:
-                return 0
-        return 0
+    @classmethod
+    def step(cls, state: int, byte: int) -> int:
+        """The next state, or -1 if the byte cannot come next."""
+        if state:
+            low, high, after = cls.NEXT[state]
+            return after if low <= byte <= high else -1
+        if byte < 0x80:
+            return 0
+        return next((s for low, high, s in cls.LEADS if low <= byte <= high), -1)
 
     def feed(self, data: bytes) -> str:
         data = self.open + data
-        n = len(data) - self.unfinished(data)
+        state, begin = 0, len(data)
+        for i in range(self.TAIL.search(data, max(0, len(data) - 4)).start() if data[-1:] >= b"\x80" else len(data), len(data)):
+            state, was = self.step(state, data[i]), state
+            if state < 0 and was:
+                was, state = 0, self.step(0, data[i])
+            state = max(state, 0)
+            if not was:
+                begin = i
+        n = begin if state else len(data)
         self.open = data[n:]
         return data[:n].decode("utf-8", "replace")
 
