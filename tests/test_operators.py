@@ -26,7 +26,7 @@ from undaflow.session import local_session
 
 @pytest.fixture(scope="module")
 def spark():
-    return local_session(4, 4, **{"spark.sql.codegen.wholeStage": "false"})
+    return local_session(4, 2, **{"spark.sql.codegen.wholeStage": "false"})
 
 
 @pytest.fixture(scope="module")
@@ -202,6 +202,30 @@ def test_clusterings(spark):
         C.cluster(d, "k", "v", "none")
 
 
+def plain_tree(x, k, ward):
+    """One merge at a time, by the definitions."""
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > k:
+        def far(a, b):
+            if ward:
+                return math.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(x[a].mean(axis=0) - x[b].mean(axis=0))
+            return max(np.linalg.norm(x[i] - x[j]) for i in a for j in b)
+
+        i, j = min(((i, j) for j in range(len(groups)) for i in range(j)), key=lambda p: far(groups[p[0]], groups[p[1]]))
+        groups[i] += groups.pop(j)
+    return sorted(sorted(g) for g in groups)
+
+
+@pytest.mark.parametrize("name", ["agglo_complete", "agglo_ward"])
+def test_linkages(spark, name):
+    x = np.random.default_rng(8).normal(size=(18, 2))
+    for k in (1, 4):
+        got = {}
+        for e in C.cluster(points(spark, x), "k", "v", name, k=k).collect():
+            got.setdefault(e["label"], []).append(e["k"])
+        assert sorted(sorted(g) for g in got.values()) == plain_tree(x, k, name == "agglo_ward")
+
+
 def test_decompositions(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(80, 3)) @ r.normal(size=(3, 6)) + 0.01 * r.normal(size=(80, 6))

@@ -15,7 +15,7 @@ from undaflow.streaming import stateful
 
 @pytest.fixture(scope="module")
 def spark():
-    return local_session(4, 4, **{"spark.sql.codegen.wholeStage": "false"})
+    return local_session(4, 2, **{"spark.sql.codegen.wholeStage": "false"})
 
 
 @pytest.fixture(scope="module")

@@ -31,7 +31,7 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str, halved: bool = False, e
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _joined(queries: DataFrame, data: DataFrame, keep, per_block: int, per_part: int) -> DataFrame:
+def joined(queries: DataFrame, data: DataFrame, keep, per_block: int = 4096, per_part: int = 1024) -> DataFrame:
     """(src, dst, dist) of what ``keep`` (distances, query ids, ids -> rows, columns) takes of each block."""
     q = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null")
     x = data.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null")
@@ -75,7 +75,7 @@ def knn(queries: DataFrame, data: DataFrame, key: str, v: str, k: int, metric: s
         i, j = np.nonzero((d <= kth[:, None] + 1e-12) & np.isfinite(d))
         return i, j, d[i, j]
 
-    found = _joined(_vectors(queries, key, v), _vectors(data, key, v), keep, per_block, per_part)
+    found = joined(_vectors(queries, key, v), _vectors(data, key, v), keep, per_block, per_part)
     w = Window.partitionBy("src").orderBy(F.round("dist", 12), "dst")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
@@ -89,7 +89,7 @@ def radius_graph(df: DataFrame, key: str, v: str, radius: float, metric: str = "
         return i, j, d[i, j]
 
     d = _vectors(df, key, v)
-    return _joined(d, d, keep, per_block, per_part)
+    return joined(d, d, keep, per_block, per_part)
 
 
 def pairwise(x: DataFrame, y: DataFrame, key: str, v: str, metric: str = "euclidean", halved: bool = False, per_block: int = 4096, per_part: int = 1024) -> DataFrame:
@@ -100,7 +100,7 @@ def pairwise(x: DataFrame, y: DataFrame, key: str, v: str, metric: str = "euclid
         i, j = np.indices(d.shape)
         return i.ravel(), j.ravel(), d.ravel()
 
-    return _joined(_vectors(x, key, v), _vectors(y, key, v), keep, per_block, per_part)
+    return joined(_vectors(x, key, v), _vectors(y, key, v), keep, per_block, per_part)
 
 
 def nearest_neighbor(x: DataFrame, y: DataFrame, key: str, v: str) -> DataFrame:
