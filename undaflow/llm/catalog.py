@@ -6,8 +6,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import ann, langid, mixing, neardup, quality, quotes, sharding, tokenize, urls
 from .settings import OTHER, TARGETS
 
@@ -77,10 +75,10 @@ def op10_projections(spark, sf_dir):
 
 def queries() -> dict:
     ops = (op1_bpe_codec, op2_divergence, op3_token_counts, op4_near_duplicates, op5_url_lists, op6_quotation_links, op7_poisson_mix, op8_hash_tree, op9_language, op10_projections)
-    return {**{f.__name__: f for f in ops}, "pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
     from .oracle import ORACLE
 
-    return {**ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    return dict(ORACLE)
