@@ -11,7 +11,7 @@ from .windows import slices
 
 def drawn(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) from a seeded hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def tbptt_starts(spark: SparkSession, n_samples: int, batch_size: int = 64, chunk_length: int = 8 * 16000, seq_len: int = 512, oversampling: int = 1, seed: int = 0) -> DataFrame:

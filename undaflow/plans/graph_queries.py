@@ -169,7 +169,7 @@ def pair_input_target(spark, d):
 
 def tbptt_starts(spark, d):
     n = signal(spark, d).count()
-    return B.tbptt_starts(spark, n, 4, 100, 20, 2)
+    return B.tbptt_starts(spark, n, 4, 100, 20, 2).select(*[F.col(c).cast("long").alias(c) for c in ("batch", "step", "track", "start")])
 
 
 def index_starts(spark, d):
@@ -177,7 +177,7 @@ def index_starts(spark, d):
 
 
 def drawn_batches(spark, d):
-    return B.batches(_embeddings(spark, d).select("vec_id"), "vec_id", 32, seed=3, limit=10)
+    return B.batches(_embeddings(spark, d).select("vec_id"), "vec_id", 32, seed=3, limit=10).select("vec_id", F.col("batch").cast("long").alias("batch"))
 
 
 def consolidate_labels(spark, d):
@@ -291,7 +291,18 @@ _U = "(SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER
 _NEXT = f"(SELECT event_type, next, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY t) AS next FROM {_U}) WHERE next IS NOT NULL GROUP BY ALL)"
 _W = "OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
 
+def _drawn(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 ORACLE = {
+    "tbptt_starts": f"""WITH n AS (SELECT count(*) AS n, greatest(1, count(*) // 100 - 1) AS c, greatest(1, count(*) % 100) AS r FROM events),
+d AS (SELECT id, c, r, row_number() OVER (ORDER BY {_drawn("'0'", 'CAST(id AS VARCHAR)')}, id) - 1 AS place FROM (SELECT c, r, unnest(range(2 * c)) AS id FROM n))
+SELECT place // 4 AS batch, CAST(step AS BIGINT) AS step, place % 4 AS track, id % c * 100 + CAST(floor({_drawn("'1'", 'CAST(id AS VARCHAR)')} * r) AS BIGINT) + step * 20 AS start FROM d, range(5) AS s(step)""",
+    "index_starts": f"SELECT k, coalesce(g, CAST(floor({_drawn("'0'", 'CAST(k AS VARCHAR)', "'0'")} * 1000) AS BIGINT) // 8 * 8) AS start FROM (VALUES (0::BIGINT, 5::BIGINT), (1, NULL), (2, 17), (3, NULL)) AS v(k, g)",
+    "drawn_batches": f"SELECT vec_id, place // 32 AS batch FROM (SELECT vec_id, row_number() OVER (ORDER BY {_drawn("'3'", 'CAST(vec_id AS VARCHAR)')}, vec_id) - 1 AS place FROM embeddings) WHERE place < 320",
+    "novelty_peaks": f"""WITH RECURSIVE {_BAND}, s AS MATERIALIZED (SELECT *, max(score) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS top, avg(score) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS mean FROM {_novelty((6,))}),
+c AS MATERIALIZED (SELECT t FROM s WHERE score = top AND score >= mean), p(t) AS (SELECT min(t) FROM c UNION ALL SELECT (SELECT min(c.t) FROM c WHERE c.t > p.t + 4) FROM p WHERE p.t IS NOT NULL) SELECT t FROM p WHERE t IS NOT NULL""",
     "knn_graph": f"SELECT src, rank, dst, round(dist, 6) AS dist FROM {_G8}",
     "knn_cosine": f"SELECT src, rank, dst, round(dist, 6) AS dist FROM {_near(3, _COSD)}",
     "radius_graph": f"SELECT src, dst, round(dist, 6) AS dist FROM (SELECT a.vec_id AS src, b.vec_id AS dst, {_DIST} AS dist FROM {_E} a JOIN {_E} b ON a.vec_id <> b.vec_id) WHERE dist <= 1.2",

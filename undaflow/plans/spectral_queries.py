@@ -180,7 +180,13 @@ _HARMONIC = "(SELECT b, i, sum(w) AS w FROM (" + " UNION ALL ".join(
 _WT = f"""(SELECT event_type, f, b, m, f AS g FROM {_MAG} UNION ALL SELECT event_type, f, b, m, -1 - f FROM {_MAG} WHERE f < 2
 UNION ALL SELECT a.event_type, a.f, a.b, a.m, 2 * c + 1 - a.f FROM {_MAG} a JOIN (SELECT event_type, max(f) AS c FROM {_MAG} GROUP BY 1) USING (event_type) WHERE a.f > c - 2)"""
 
+_CHROMA = """(WITH a AS (SELECT b, CASE WHEN b = 0 THEN 12 * log2(22050 / 16.0::DOUBLE / 27.5) - 18 ELSE 12 * log2(greatest(b, 1) * 22050 / 16.0::DOUBLE / 27.5) END AS pc FROM range(10) AS r(b)),
+w AS (SELECT a.b, c, a.pc, exp(-0.5 * pow(2 * ((a.pc - c + 126) % 12 - 6) / greatest(n.pc - a.pc, 1.0), 2)) AS w FROM a JOIN a n ON n.b = a.b + 1, range(12) AS s(c) WHERE a.b <= 8)
+SELECT b, (c + 9) % 12 AS k, w / sqrt(sum(w * w) OVER (PARTITION BY b)) * exp(-0.5 * pow((pc / 12 - 5) / 2, 2)) AS w FROM w)"""
+
 ORACLE = {
+    "chroma": f"""WITH y AS (SELECT event_type, f, k, sum(m * w) AS y FROM {_MAG} JOIN {_CHROMA} USING (b) GROUP BY ALL), t AS (SELECT *, max(abs(y)) OVER (PARTITION BY event_type, f) AS top FROM y)
+SELECT event_type, f AS frame, CAST(k AS INTEGER) AS bin, round(y / CASE WHEN top > 1.2e-38 THEN top ELSE 1 END, 6) AS y FROM t""",
     "stft_cartesian": f"SELECT event_type, f AS frame, CAST(b AS INTEGER) AS bin, round(re, 6) AS re, round(im, 6) AS im FROM {_dft(_END)}",
     "stft_polar": f"SELECT event_type, f AS frame, CAST(b AS INTEGER) AS bin, round(sqrt(re * re + im * im), 6) AS mag, round(re, 6) AS re, round(im, 6) AS im FROM {_dft(_START)}",
     "magspec": f"SELECT event_type, f AS frame, CAST(b AS INTEGER) AS bin, round(m, 6) AS mag FROM {_MAG}",
