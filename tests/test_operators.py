@@ -121,6 +121,18 @@ def test_spectra_and_back(spark, center, alignment):
         assert len(again) == size and not np.allclose(again, want)
 
 
+def test_levels_by_blocks(spark):
+    x = np.abs(np.random.default_rng(9).normal(size=900))
+    d = spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(x)], "s string, t long, x double").repartition(5)
+    level, want = 0.0, []
+    for v in x:
+        level += (0.75 if v > level else 0.3) * (v - level)
+        want.append(level)
+    for block in (150, 1 << 16):
+        got = by_source(X.attack_release(d, ["s"], "t", "x", 0.75, 0.3, block=block), c="level")["s"]
+        assert len(got) == 900 and np.allclose(got, want, rtol=0, atol=1e-13)
+
+
 def test_filters_and_transforms():
     mel = M.mel_filters(16000, 512, 40)
     assert mel.shape == (40, 257) and (mel >= 0).all() and (mel.sum(axis=1) > 0).all()
