@@ -85,7 +85,7 @@ class Transducer:
     the tokens that every live hypothesis agrees on; it is derived at first use and kept, up to
     ``most`` of them. ``window`` is the lookahead that nearly always decides; where it doesn't, it doubles."""
 
-    def __init__(self, merges: Merges, window: int = 12, most: int = 250_000):
+    def __init__(self, merges: Merges, window: int = 12, most: int = 80_000):
         self.merges, self.window, self.most = merges, window, most
         self._ids = {t: i for i, t in enumerate(merges.tokens) if t is not None}
         self._open = {t[:k] for t in self._ids for k in range(1, len(t))}
@@ -253,16 +253,20 @@ def split(pattern: str, text: str) -> list[str]:
 
 
 class WordTable(dict):
-    """Pre-token -> what ``make`` gives for it, filled on demand and emptied at ``most`` entries."""
+    """Pre-token -> what ``make`` gives for it, filled on demand. At ``most`` entries they become the old ones, and those before
+    them go; an old entry that is asked for is young again. So at most twice ``most`` are held, the frequent ones always."""
 
-    def __init__(self, make, most: int = 600_000, longest: int = 64):
+    def __init__(self, make, most: int = 300_000, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, word):
-        out = self.make(word)
+        out = self.old.get(word, self)
+        if out is self:
+            out = self.make(word)
         if len(word) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
