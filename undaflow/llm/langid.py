@@ -166,7 +166,7 @@ class Model:
         spans = [(int(start[a]), int(end[b - 1]), self.langs[p[a]]) for a, b in zip([0, *cut], [*cut, len(p)])]
         return self.langs[k], float(by[k]) / total, float(value.sum()) / total, bool(value.sum() >= (self.least[p] * letters).sum() - 4 * self.spread[k] * total**0.5), spans
 
-    def label(self, texts: list[str], most: int = 1 << 19) -> list[tuple]:
+    def label(self, texts: list[str], most: int = 1 << 17) -> list[tuple]:
         """What ``judge`` says of every text; short texts are read together, long ones in pieces."""
         out, a = [], 0
         while a < len(texts):

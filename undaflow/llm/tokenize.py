@@ -89,9 +89,9 @@ class Utf8Stream:
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, path: str, pattern: str = PATTERN, held: int = 300_000):
         self.fst, self.pattern = transducer(path), pattern
-        self.words = WordTable(lambda w: tuple(self.fst.encode(w.encode("utf-8"))))
+        self.words = WordTable(lambda w: tuple(self.fst.encode(w.encode("utf-8"))), held)
         self.digits = [str(i) for i in range(len(self.fst.merges.tokens))]
 
     def encode(self, text: str) -> list[int]:
@@ -113,12 +113,13 @@ def _columns(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(df[key].cast("long").alias("k"), df[text].cast("string").alias("t"))
 
 
-def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = True, pattern: str = PATTERN) -> DataFrame:
+def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = True, pattern: str = PATTERN, held: int = 300_000) -> DataFrame:
     """Per row: ``key``, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256``
-    (of the bytes that decoding the ids gives) and, where ``ids`` is set, ``ids`` and ``decoded``."""
+    (of the bytes that decoding the ids gives) and, where ``ids`` is set, ``ids`` and ``decoded``. A worker holds
+    the tokens of at most twice ``held`` pre-tokens."""
 
     def run(batches):
-        codec = _once(Codec, path, pattern)
+        codec = _once(Codec, path, pattern, held)
         digits = codec.digits
         for b in batches:
             n, h, d, lists, texts = [], [], [], [], []
