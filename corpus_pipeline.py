@@ -31,9 +31,18 @@ def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     return d.join(verdict.select(_row(F.col("doc_id"), F.col("text_hash")).alias("_row")), "_row", "left_semi")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Lets Python workers take 2 000 rows at a time, unless the session has a number of its own: the stages share
+    their workers, and whole texts of five times as many rows would be held in several forms at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go, and those whose letters fit no learned language. Ties, repeated rows and null
     keys: each row by its own text. A null text has no letter and goes."""
+    _small_batches(spark)
     model = langid.learn(docs, ~langid.held_out(docs["doc_id"]))
     return langid.label(docs, model, keep=COLUMNS).where("lang_pred <> 'und' and fits").select(*COLUMNS)
 
@@ -46,6 +55,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the smallest key, under one key the smallest hash of the text, and of
     rows equal in key and text the smallest row. Texts without words are no copies of each other and stay."""
+    _small_batches(spark)
     found = neardup.near_duplicates(docs).where("kept")
     alone = found.where("component is null").select("doc_id", "text_hash")
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("s.*")
@@ -61,7 +71,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of every row; a null text has no tokens."""
-    return tokenize.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
+    _small_batches(spark)
+    return tokenize.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False, held=100_000)
 
 
 STAGES = [("language", language), ("quality", quality_rules), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
