@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 #: First code points of script ranges.
 SCRIPTS = ((0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "devanagari"),
            (0x980, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"),
@@ -234,7 +236,7 @@ def learn(df: DataFrame, where: Column, text: str = "text", lang: str = "lang",
             got = count(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got) if got else ((),) * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["l", "kind", "code", "n"])
 
-    total = rows.select("t", "l").mapInArrow(run, "l string, kind int, code long, n long").groupBy("l", "kind", "code").agg(F.sum("n").alias("n"))
+    total = rows.select("t", "l").mapInArrow(tidy(run), "l string, kind int, code long, n long").groupBy("l", "kind", "code").agg(F.sum("n").alias("n"))
     got = total.orderBy(F.col("kind").desc(), F.col("n").desc(), "l", "code").limit(grams).collect()
     return Model([(r["l"], r["kind"], r["code"], r["n"]) for r in got])
 
@@ -265,4 +267,4 @@ def label(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     own = [df[c] for c in keep] if keep else [df[key].cast("long").alias(key)]
     d = df.select(*own, df[text].cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(run, f"{schema}, {RESULT}")
+    return d.mapInArrow(tidy(run), f"{schema}, {RESULT}")

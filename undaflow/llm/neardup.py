@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .memory import tidy
 
 POSITIONS = 64
 MEMBER = ("c", "n", "sig", "label", "settled", "tree")
@@ -155,7 +156,7 @@ def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["id", "text_hash", "n", "fp", "sig"])
 
     rows = df.select(df[key].cast("long").alias("id"), text_hash(df[text]).alias("text_hash"), df[text].cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, text_hash long, n long, fp binary, sig binary")
+    return rows.mapInArrow(tidy(run), "id long, text_hash long, n long, fp binary, sig binary")
 
 
 def _sigs(column) -> np.ndarray:
@@ -172,7 +173,7 @@ def paths(classes: DataFrame, trees: int) -> DataFrame:
             node = _mix(_mix(s[:, 0 : 2 * trees : 2] + tree) + s[:, 1 : 2 * trees : 2]).view(np.int64).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(s))), b.column(0).take(pa.array(np.repeat(np.arange(len(s)), trees)))], ["node", "tree", "c"])
 
-    return classes.select("c", "sig").mapInArrow(run, "node long, tree int, c binary")
+    return classes.select("c", "sig").mapInArrow(tidy(run), "node long, tree int, c binary")
 
 
 def branch(members: DataFrame, trees: int, branches: int) -> DataFrame:
@@ -187,7 +188,7 @@ def branch(members: DataFrame, trees: int, branches: int) -> DataFrame:
             token = np.take_along_axis(s, (2 * trees + h % _U(POSITIONS - 2 * trees)).astype(np.int64), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(_mix(h + token).view(np.int64).ravel()), b.column(1).take(pa.array(np.repeat(np.arange(len(s)), branches)))], ["node", "c"])
 
-    return members.select("node", "c", "sig").mapInArrow(run, "node long, c binary")
+    return members.select("node", "c", "sig").mapInArrow(tidy(run), "node long, c binary")
 
 
 def candidates(t: pa.Table, trees: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,7 +282,7 @@ def links(blocks: DataFrame, rows: DataFrame, named: DataFrame, width: int, perc
     w = wanted.withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
     some = sift(rows, wanted)
     text = some.join(w, (F.col("text_hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).groupBy("c").agg(F.first("t").alias("t"))
-    sets = materialize(text.mapInArrow(build, "c binary, shingles binary"), "sets")
+    sets = materialize(text.mapInArrow(tidy(build), "c binary, shingles binary"), "sets")
     return materialize(found.join(sets, "c").groupBy("block").applyInArrow(join, "a binary, b binary"), "links")
 
 

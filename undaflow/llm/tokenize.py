@@ -18,6 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .memory import tidy
 from .transducer import Merges, Transducer, WordTable, split
 
 PATTERN = public_tokenizers.PATTERN
@@ -144,7 +145,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", id
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
-    return _columns(df, key, text).mapInArrow(run, schema)
+    return _columns(df, key, text).mapInArrow(tidy(run), schema)
 
 
 def special_strings(path: str) -> tuple[str, ...]:
@@ -251,4 +252,4 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 [key, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return _columns(df, key, text).mapInArrow(run, f"`{key}` long, n_bytes long, n_tokens long, over_limit boolean")
+    return _columns(df, key, text).mapInArrow(tidy(run), f"`{key}` long, n_bytes long, n_tokens long, over_limit boolean")
