@@ -131,6 +131,23 @@ def test_streams_equal_batches(spark, tmp_path):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+def test_streamed_entropy_of_many_symbols(spark, tmp_path):
+    """Symbols that come back in a later batch, nulls, and numbers beyond a double's digits."""
+    from math import log
+
+    rows = [(s, k, None if k % 7 == 0 else 2**60 + k * (k + len(s)) % 31) for s in ("a", "bb") for k in range(90)]
+    folder = f"file://{tmp_path}/in"
+    for part in (rows[:50] + rows[90:120], rows[50:90] + rows[120:]):
+        spark.createDataFrame(part, "s string, t long, x long").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("s string, t long, x long").parquet(folder)
+        got = stateful.drain(stateful.running_entropy(stream, "s", "t", "x"), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    got = {(r["s"], r["t"]): r["entropy"] for r in got.collect()}
+    assert len(got) == 180
+    for s, t, _ in rows:
+        seen = [x for a, b, x in rows if a == s and b <= t]
+        assert abs(got[s, t] + sum(seen.count(x) / len(seen) * log(seen.count(x) / len(seen)) for x in set(seen))) < 1e-12
+
+
 def test_intermediate_tables_are_removed(spark):
     d = B.indexed(spark.range(5), [], ["id"])
     assert d.count() == 5

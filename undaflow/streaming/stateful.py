@@ -5,25 +5,22 @@ so a stream that stops goes on from its checkpoint. Each operator equals its bat
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def scan(stream: DataFrame, source: str, order: str, x: str, out: str, state: str, start: tuple, step: Callable[[tuple, object], tuple[float, tuple]]) -> DataFrame:
-    """(source, order, out): ``step`` takes the state and a sample to a value and the next state. ``state`` is the state's schema."""
+def fold(stream: DataFrame, source: str, order: str, x: str, out: str, state: str, start: tuple, part: Callable[[tuple, pd.Series], tuple[object, tuple]]) -> DataFrame:
+    """(source, order, out): ``part`` takes the state and a batch's samples in order to their values and the next state.
+    ``state`` is the state's schema."""
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else start
-        rows = pd.concat(list(batches)).sort_values(order)
-        made = []
-        for v in rows[x].tolist():
-            y, now = step(now, v)
-            made.append(y)
+        rows = pd.concat([b[[order, x]] for b in batches], ignore_index=True).sort_values(order)
+        made, now = part(held.get if held.exists else start, rows[x])
         held.update(now)
         yield pd.DataFrame({source: [key[0]] * len(rows), order: rows[order].to_numpy(), out: made})
 
@@ -32,6 +29,19 @@ def scan(stream: DataFrame, source: str, order: str, x: str, out: str, state: st
     return stream.select(source, order, x).groupBy(source).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def scan(stream: DataFrame, source: str, order: str, x: str, out: str, state: str, start: tuple, step: Callable[[tuple, object], tuple[float, tuple]]) -> DataFrame:
+    """``fold`` by a ``step`` that takes the state and one sample to a value and the next state."""
+
+    def part(now, samples):
+        made = []
+        for v in samples.tolist():
+            y, now = step(now, v)
+            made.append(y)
+        return made, now
+
+    return fold(stream, source, order, x, out, state, start, part)
+
+
 def remove_dc(stream: DataFrame, source: str, order: str, x: str, pole: float = 0.99, out: str = "y") -> DataFrame:
     """y = x - x before + pole * y before."""
 
@@ -53,21 +63,27 @@ def deemphasis(stream: DataFrame, source: str, order: str, x: str, e: float, out
 
 
 def running_entropy(stream: DataFrame, source: str, order: str, symbol: str, out: str = "entropy") -> DataFrame:
-    """Entropy (nats) of a source's symbols so far. The state holds one count a symbol."""
-
-    def step(now, v):
-        n, total, symbols, counts = now[0] + 1, now[1], list(now[2]), list(now[3])
-        if v not in symbols:
-            symbols.append(v)
-            counts.append(0)
-        k = symbols.index(v)
-        counts[k] += 1
-        c = counts[k]
-        total += c * math.log(c) - ((c - 1) * math.log(c - 1) if c > 1 else 0.0)
-        return math.log(n) - total / n, (n, total, symbols, counts)
+    """Entropy (nats) of a source's symbols so far; null is a symbol like others. The state holds one count a symbol, and
+    a batch looks each of them up once."""
+    xlnx = lambda c: c * np.log(np.maximum(c, 1.0))
+
+    def part(now, samples):
+        n, total, symbols, counts = now
+        code, found = pd.factorize(samples, use_na_sentinel=False)
+        found = [None if pd.isna(s) else s for s in found]
+        have = dict(zip(symbols, counts))
+        before = np.array([have.get(s, 0) for s in found], dtype=np.float64)
+        c = before[code] + pd.Series(code).groupby(code).cumcount().to_numpy() + 1
+        # long sums in more digits than they come out with
+        sums = (total + np.cumsum((xlnx(c) - xlnx(c - 1)).astype(np.longdouble))).astype(np.float64)
+        at = n + np.arange(1, len(code) + 1)
+        have.update(zip(found, (before + np.bincount(code)).astype(int).tolist()))
+        return np.log(at) - sums / at, (int(at[-1]), float(sums[-1]), list(have), list(have.values()))
 
     kind = {f.name: f.dataType.simpleString() for f in stream.schema.fields}[symbol]
-    return scan(stream, source, order, symbol, out, f"n long, total double, symbols array<{kind}>, counts array<long>", (0, 0.0, [], []), step)
+    # as text, a whole number next to a null stays exact; the zeros are one symbol
+    d = stream.withColumn(symbol, (F.col(symbol) + F.lit(0) if kind in ("float", "double") else F.col(symbol)).cast("string"))
+    return fold(d, source, order, symbol, out, "n long, total double, symbols array<string>, counts array<long>", (0, 0.0, [], []), part)
 
 
 def generate(stream: DataFrame, source: str, order: str, x: str, fn: Callable[[list[float]], float], rf: int, out: str = "y") -> DataFrame:
