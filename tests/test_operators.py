@@ -406,3 +406,21 @@ def test_drawn_scales_stay_in_bounds(spark):
     d = spark.range(500).select(F.col("id").alias("t"), F.lit(1.0).alias("o"), F.lit(1.0).alias("y"))
     loss = L.scaled_l1(d, "t", F.col("t"), "o", "y").first()["loss"]
     assert 0 < loss < 0.06 and math.isclose(loss, L.scaled_l1(d, "t", F.col("t"), "o", "y").first()["loss"])
+
+
+def test_distances_over_time_by_blocks(spark):
+    """Every pair of a batch element's steps: over several blocks, at one time, near copies, and without what is null."""
+    from undaflow.functions import losses as L
+
+    r = np.random.default_rng(4)
+    rows = [(b, k // 2, r.normal(size=3).tolist(), r.normal(size=3).tolist()) for b in ("a", "b", None) for k in range(11)]
+    rows[5] = ("a", 9, rows[4][2], [x + 1e-9 for x in rows[4][3]])
+    rows += [("a", 50, None, [1.0, 2.0, 3.0]), ("b", 51, [1.0, None, 3.0], [1.0, 2.0, 3.0])]
+    gap = lambda p, q: math.sqrt(sum((s - t) ** 2 for s, t in zip(p, q)))
+    whole = [x for x in rows if x[2] and None not in x[2]]
+    want = np.mean([abs(gap(p[2], q[2]) - gap(p[3], q[3])) for p in whole for q in whole if p[0] == q[0]])
+    d = spark.createDataFrame(rows, "b string, t long, o array<double>, y array<double>")
+    for block in (3, 4096):
+        assert abs(L.distance_over_time(d, ["b"], "t", "o", "y", block=block).first()["loss"] - want) < 1e-12
+    assert L.distance_over_time(d.limit(0), ["b"], "t", "o", "y").first()["loss"] is None
+    assert L.distance_over_time(d.where("b = 'a'"), [], "t", "o", "y").first()["loss"] is not None

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .pointwise import dot, log_sum_exp
 
 
@@ -53,17 +56,35 @@ def vector_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, z: s + z))
 
 
-def distance_over_time(df: DataFrame, batch: list[str], t: str, o: str, y: str) -> DataFrame:
+def distance_over_time(df: DataFrame, batch: list[str], t: str, o: str, y: str, block: int = 4096) -> DataFrame:
     """Mean absolute difference between the distances of outputs and those of targets, over all pairs of steps of a
-    batch element; pairs are made once and count twice, those of a step with itself add nothing."""
-    a = df.select(*batch, F.col(t).alias("_i"), F.col(o).alias("_oi"), F.col(y).alias("_yi"))
-    b = df.select(*[F.col(c).alias(f"_b_{c}") for c in batch], F.col(t).alias("_j"), F.col(o).alias("_oj"), F.col(y).alias("_yj"))
-    on = F.col("_i") < F.col("_j")
-    for c in batch:
-        on = on & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    total = a.join(b, on).agg(F.sum(2 * F.abs(vector_distance(F.col("_oi"), F.col("_oj")) - vector_distance(F.col("_yi"), F.col("_yj")))).alias("s"))
-    n = df.groupBy(*batch).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("n"))
-    return total.crossJoin(n).select((F.col("s") / F.col("n")).alias("loss"))
+    batch element; pairs count twice, those of a step with itself once and as nothing, also where steps share a ``t``.
+    Steps without an output or a target are in no pair. A task holds two blocks of a batch element's steps."""
+    from ..operators.arrays import matrix
+    from ..operators.blocks import join_by
+    from ..operators.neighbors import STRIP, euclidean
+
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    d = df.where(whole(o) & whole(y)).select(*batch, F.col(o).cast("array<double>").alias("_o"), F.col(y).cast("array<double>").alias("_y"), F.xxhash64(F.col(t)).alias("_h"))
+    n = materialize(d.groupBy(*batch).agg(F.count("*").alias("_n")), "steps")
+    d = join_by(d, n, batch) if batch else d.crossJoin(n)
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    d = d.withColumn("_b", F.pmod("_h", blocks).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    d = d.select(*batch, F.least("_b", "_k").alias("_i"), F.greatest("_b", "_k").alias("_j"), "_b", "_o", "_y")
+
+    def run(rows: pa.Table) -> pa.Table:
+        left = np.asarray(rows.column("_b")) == rows.column("_i")[0].as_py()
+        alone = rows.column("_i")[0].as_py() == rows.column("_j")[0].as_py()
+        v, u = matrix(rows.column("_o")), matrix(rows.column("_y"))
+        a, b, total = np.flatnonzero(left), np.flatnonzero(left if alone else ~left), 0.0
+        for k in range(0, len(a), max(1, STRIP // max(1, len(b)))) if len(b) else ():
+            i = a[k : k + max(1, STRIP // len(b))]
+            total += np.abs(euclidean(v[i], v[b]) - euclidean(u[i], u[b])).sum()
+        return pa.table({"s": [float(total if alone else 2 * total)]})
+
+    total = d.groupBy(*batch, "_i", "_j").applyInArrow(run, "s double").agg(F.sum("s").alias("s"))
+    pairs = n.agg(F.sum(F.col("_n") * F.col("_n")).alias("n"))
+    return total.crossJoin(pairs).select((F.col("s") / F.nullif("n", F.lit(0))).alias("loss"))
 
 
 def scaled_l1(df: DataFrame, t: str, key: Column, o: str, y: str, low: float = 0.95, high: float = 1.05, seed: int = 0) -> DataFrame:
