@@ -86,6 +86,12 @@ def test_base_counts(docs):
         assert r.common == [sum(forms.get(x) == c for x in w) for c in words]
 
 
+def test_common_words_of_the_whole_table(spark):
+    """The word of most texts wins where the texts of the lower half of the key hashes all hold another."""
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.when(mixing.uniform("words", F.col("id")) < 0.45, "few").otherwise("many").alias("text"))
+    assert quality.common_words(rows, "doc_id", "text", "lang", each=1) == ["many"]
+
+
 def test_quality_keeps_plain_text_and_handles_empty(spark, docs):
     out = {r.doc_id: r for r in quality.quality(docs).collect()}
     assert len(out) == docs.count() and not out[0].kept and out[10].kept
