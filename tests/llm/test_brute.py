@@ -92,6 +92,17 @@ def test_common_words_of_the_whole_table(spark):
     assert quality.common_words(rows, "doc_id", "text", "lang", each=1) == ["many"]
 
 
+def test_pipeline_judges_by_words_of_the_whole_table(spark, monkeypatch):
+    import corpus_pipeline
+
+    text = F.when(mixing.uniform("words", F.col("id")) < 0.45, "few").otherwise("many")
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(4).alias("n_chars"))
+    seen, counts = [], quality.base_counts
+    monkeypatch.setattr(quality, "base_counts", lambda df, words, *a, **b: (seen.append(words), counts(df, words, *a, **b))[1])
+    corpus_pipeline.quality_rules(spark, rows, "")
+    assert seen == [["few", "many"]]
+
+
 def test_quality_keeps_plain_text_and_handles_empty(spark, docs):
     out = {r.doc_id: r for r in quality.quality(docs).collect()}
     assert len(out) == docs.count() and not out[0].kept and out[10].kept
