@@ -2,6 +2,8 @@
 
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,6 +105,37 @@ def test_pipeline_judges_by_words_of_the_whole_table(spark, monkeypatch):
     assert seen == [["few", "many"]]
 
 
+def test_pipeline_learns_languages_from_the_whole_table(spark, monkeypatch):
+    """The language stage's model is that of all labelled rows outside the held-out third."""
+    import corpus_pipeline
+
+    rows = [(k, f"Tree {'abcdefgh'[k % 8]}{'klmnop'[k % 6]} house{k}\nx" if k % 7 else None, ("en", "de", None)[k % 3], "s", 4) for k in range(9000)]
+    held = {k for k, *_ in rows if zlib.crc32(str(k).encode()) % 3 == 1}
+    want = langid.Model(langid.count([(t, x) for k, t, x, *_ in rows if x and k not in held]))
+    seen, label = [], langid.label
+    monkeypatch.setattr(langid, "label", lambda df, model, **b: (seen.append(model), label(df, model, **b))[1])
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    corpus_pipeline.language(spark, d, "")
+    early = langid.learn(d, ~langid.held_out(d["doc_id"]), held=5)
+    for m in (*seen, early):
+        assert (m.langs, m.fallback) == (want.langs, want.fallback) and np.array_equal(m.keys, want.keys) and np.array_equal(m.table, want.table) and np.array_equal(m.scripts, want.scripts)
+    assert len(seen) == 1
+
+
+def test_language_counts():
+    texts = ["The tree, the house", None, "", "12 ?!", "a" * 40 + " bc\n" * 30, "x", "Tree"]
+    grams, words = Counter(), [re.findall("[a-z]+", (t or "").lower()) for t in texts]
+    for w in sum(words, []):
+        grams.update(f" {w} "[k : k + 3] for k in range(len(w)))
+    want = [("en", langid.TRIGRAM, ord(a) << 42 | ord(b) << 21 | ord(c), n) for (a, b, c), n in grams.items()]
+    want += [("en", langid.SCRIPT, langid.NAMES.index("latin"), sum(map(len, words))), ("en", langid.DOC, 0, sum(map(bool, words)))]
+    assert sorted(langid.count([(t, "en") for t in texts] + [("12", "de")])) == sorted(want)
+    for most in (3, 20, 70):
+        c = langid.Counts(most, loose=5)
+        c.add([t or "" for t in texts], "en")
+        assert sorted((x, kind, int(v), int(n)) for x, kind, vs, ns in c.rows() for v, n in zip(vs, ns)) == sorted(want)
+
+
 def test_quality_keeps_plain_text_and_handles_empty(spark, docs):
     out = {r.doc_id: r for r in quality.quality(docs).collect()}
     assert len(out) == docs.count() and not out[0].kept and out[10].kept

@@ -1,8 +1,8 @@
 """Operator 9: language of mixed-language texts by script ranges and Viterbi over word scores.
 
-A model holds the log-probabilities of letter trigrams by language. It is learned from a bounded sample of
-labelled rows: those whose key hash lies below the share that gives ``most`` rows on average. Executors
-count the trigrams of whole texts, and at most ``grams`` sums reach the driver, whatever the table's size.
+A model holds the log-probabilities of letter trigrams by language. It is learned from all labelled rows that
+may be learned from: every task counts the trigrams of its whole texts and hands on one row a language and
+trigram, and at most ``grams`` sums reach the driver, whatever the table's size.
 The script range of a word's first letter narrows the languages to those that use the script; a word's
 score is the sum over its trigrams; a path through the words pays ``penalty`` for each change of
 language, and the best path labels spans. The language of most letters is predicted and its share is the
@@ -202,41 +202,91 @@ class Model:
         return self.label([text])[0][4]
 
 
-def count(rows: list[tuple[str | None, str]], most: int = 1 << 19) -> list[tuple[str, int, int, int]]:
+class Counts:
+    """Sums by language of trigrams, scripts of words, and texts with a word; short texts are read together, long ones in pieces."""
+
+    def __init__(self, most: int = 1 << 17, loose: int = 1 << 20):
+        self.most, self.loose = most, loose
+        self.grams, self.scripts, self.docs = {}, {}, {}
+
+    def add(self, texts: list[str], lang: str) -> None:
+        a = 0
+        while a < len(texts):
+            b, size = a + 1, len(texts[a])
+            while b < len(texts) and size + len(texts[b]) <= self.most:
+                size += len(texts[b])
+                b += 1
+            if b == a + 1:
+                with_word = max([len(self._read(piece, lang)) for piece in pieces(texts[a], self.most)]) > 0
+            else:
+                ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
+                with_word = len(np.unique(np.searchsorted(ends, self._read("\n".join(texts[a:b]), lang), side="right")))
+            self.docs[lang] = self.docs.get(lang, 0) + int(with_word)
+            a = b
+
+    def _read(self, text: str, lang: str) -> np.ndarray:
+        """Counts a text and gives the starts of its words."""
+        codes, _, start, _, script = read(text)
+        if len(codes):
+            held = self.grams.setdefault(lang, [])
+            held.append(np.unique_counts(codes))
+            self.scripts[lang] = self.scripts.get(lang, 0) + np.bincount(script, minlength=len(NAMES))
+            if len(held) > 1 and sum(len(c[0]) for c in held[1:]) > max(self.loose, len(held[0][0])):
+                self.grams[lang] = [self._sums(held)]
+        return start
+
+    @staticmethod
+    def _sums(held: list) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate([c[0] for c in held]), return_inverse=True)
+        n = np.zeros(len(values), np.int64)
+        np.add.at(n, at, np.concatenate([c[1] for c in held]))
+        return values, n
+
+    def size(self) -> int:
+        return sum(len(c[0]) for held in self.grams.values() for c in held)
+
+    def rows(self):
+        """(lang, kind, codes, n), the last two as arrays."""
+        for lang in sorted(self.grams):
+            yield lang, TRIGRAM, *self._sums(self.grams[lang])
+            used = np.flatnonzero(self.scripts[lang])
+            yield lang, SCRIPT, used, self.scripts[lang][used]
+            yield lang, DOC, np.zeros(1, np.int64), np.array([self.docs[lang]])
+
+
+def count(rows: list[tuple[str | None, str]]) -> list[tuple[str, int, int, int]]:
     """(lang, kind, code, n) of (text, lang) rows: trigrams, scripts of words, and texts with a word."""
-    out = []
+    c = Counts()
     for lang in sorted({x for _, x in rows}):
-        codes, scripts, docs = [], np.zeros(len(NAMES), np.int64), 0
-        for text, x in rows:
-            if x == lang:
-                n = 0
-                for piece in pieces(text or "", most):
-                    c, first, _, _, s = read(piece)
-                    codes.append(np.unique_counts(c))
-                    scripts += np.bincount(s, minlength=len(NAMES))
-                    n += len(first)
-                docs += n > 0
-        if codes:
-            values, at = np.unique(np.concatenate([c.values for c in codes]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([c.counts for c in codes]), minlength=len(values))
-            out += [(lang, TRIGRAM, int(c), int(k)) for c, k in zip(values, n)]
-        out += [(lang, SCRIPT, k, int(n)) for k, n in enumerate(scripts) if n] + [(lang, DOC, 0, docs)] * (docs > 0)
-    return out
-
-
-def learn(df: DataFrame, where: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = 3000, grams: int = 200_000) -> Model:
-    """A model from about ``most`` labelled rows and at most ``grams`` counts, the largest."""
-    rows = df.where(where & df[lang].isNotNull()).select(F.shiftrightunsigned(F.xxhash64(df[key].cast("long")), 1).alias("h"), df[text].cast("string").alias("t"), df[lang].cast("string").alias("l"))
-    n = rows.select("l").count()
-    if n > most:
-        rows = rows.where(F.col("h") < int(most / n * (1 << 63)))
+        c.add([text or "" for text, x in rows if x == lang], lang)
+    return [(lang, kind, int(code), int(n)) for lang, kind, codes, ns in c.rows() for code, n in zip(codes, ns)]
+
+
+def learn(df: DataFrame, where: Column, text: str = "text", lang: str = "lang", grams: int = 200_000, held: int = 1 << 21) -> Model:
+    """A model from all labelled rows, of at most ``grams`` counts, the largest. A task hands its counts on when it
+    holds more than ``held``, and at its end."""
+    rows = df.where(where & df[lang].isNotNull()).select(df[text].cast("string").alias("t"), df[lang].cast("string").alias("l"))
+
+    def out(c):
+        for x, kind, codes, n in c.rows():
+            for a in range(0, len(codes), 1 << 16):
+                v, k = codes[a : a + (1 << 16)].astype(np.int64), n[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(v), pa.string()), pa.array([kind] * len(v), pa.int32()), pa.array(v), pa.array(k)], ["l", "kind", "code", "n"])
 
     def run(batches):
+        c = Counts()
         for b in batches:
-            got = count(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got) if got else ((),) * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["l", "kind", "code", "n"])
-
-    total = rows.select("t", "l").mapInArrow(tidy(run), "l string, kind int, code long, n long").groupBy("l", "kind", "code").agg(F.sum("n").alias("n"))
+            texts = {}
+            for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts.setdefault(x, []).append(t or "")
+            for x, ts in texts.items():
+                c.add(ts, x)
+            if c.size() > held:
+                yield from out(c)
+                c = Counts()
+        yield from out(c)
+
+    total = rows.mapInArrow(tidy(run), "l string, kind int, code long, n long").groupBy("l", "kind", "code").agg(F.sum("n").alias("n"))
     got = total.orderBy(F.col("kind").desc(), F.col("n").desc(), "l", "code").limit(grams).collect()
     return Model([(r["l"], r["kind"], r["code"], r["n"]) for r in got])
 
